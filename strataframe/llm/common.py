@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = SLICE_BYT
     """Consecutive parts of a batch with about ``limit`` bytes of text each, one row at least."""
     if not batch.num_rows:
         return
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // limit
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:]):
