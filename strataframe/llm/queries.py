@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate, langid, licences, ngram_rules, zstd_quality
 from .common import table
 
 #: Rank file of the byte-level vocabulary.
@@ -19,11 +19,36 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_RANKS)
 
 
+def op3_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op9_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zstd_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_rules": op3_ngram_rules,
+    "op4_language_id": op4_language_id,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_licences": op7_licences,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_zstd_quality": op9_zstd_quality,
 }
 ORACLES: dict[str, str] = {}
