@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licences, ngram_rules, zstd_quality
+from . import bpe, decontaminate, langid, licences, ngram_rules, suffix_dedup, zstd_quality
 from .common import table
 
 #: Rank file of the byte-level vocabulary.
@@ -19,6 +19,10 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_RANKS)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op9_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_ngram_rules": op3_ngram_rules,
     "op4_language_id": op4_language_id,
     "op6_decontaminate": op6_decontaminate,
