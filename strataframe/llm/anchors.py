@@ -8,7 +8,7 @@ looked at any further, and none that matters is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -89,6 +89,10 @@ class Bytes:
     def count(self, tokens: np.ndarray) -> int:
         return len(tokens) - 8
 
+    def taker(self, text: bytes) -> Callable[[int, int], bytes]:
+        """What gives the tokens from one place to another as bytes that are equal for equal tokens."""
+        return lambda a, b: text[a:b]
+
 
 class Words:
     """Tokens are runs of bytes that aren't ASCII white space; a token is its hash."""
@@ -116,6 +120,10 @@ class Words:
     def count(self, tokens: np.ndarray) -> int:
         return len(tokens)
 
+    def taker(self, text: bytes) -> Callable[[int, int], bytes]:
+        words = text.split()
+        return lambda a, b: b" ".join(words[a:b])
+
 
 def runs(scheme: Bytes | Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The runs of all texts in order: text number, first window (token number in the text), windows, anchor hash."""

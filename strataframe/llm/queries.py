@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licences, ngram_rules, suffix_dedup, zstd_quality
+from . import bpe, decontaminate, langid, licences, ngram_rules, substring_index, suffix_dedup, zstd_quality
 from .common import table
 
 #: Rank file of the byte-level vocabulary.
@@ -47,6 +47,10 @@ def op9_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_ngram_rules": op3_ngram_rules,
@@ -55,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licences": op7_licences,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_zstd_quality": op9_zstd_quality,
+    "op10_substring_index": op10_substring_index,
 }
 ORACLES: dict[str, str] = {}

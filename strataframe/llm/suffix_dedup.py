@@ -20,7 +20,6 @@ null id is larger than any other; rows with equal ids don't remove each other's
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .common import Chunk, chunk_count, chunked, pack, text_bytes, unpack
+from .exchange import RunTexts, chunk_number, flagged_spans, sent_rows
 
 LENGTH = anchors.Bytes.length
 SCHEME = anchors.Bytes()
@@ -140,19 +140,6 @@ def anchor_rows(group: pa.Table, n_buckets: int) -> pa.Table:
     return sent_rows(value[fresh], group, n_buckets)
 
 
-def sent_rows(sorted_values: np.ndarray, group: pa.Table, n_buckets: int) -> pa.Table:
-    """Sorted anchor hashes, each cut to two at most, by bucket."""
-    third = np.zeros(len(sorted_values), bool)
-    third[2:] = sorted_values[2:] == sorted_values[:-2]
-    bucket, low = anchors.route(sorted_values[~third], n_buckets)
-    rows = [(k, anchors.to_bytes(low[at])) for k, at in anchors.by_bucket(bucket, n_buckets)]
-    number = group.column("chunk")[0].as_py() if group.num_rows else 0
-    return pa.table({
-        "bucket": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([number] * len(rows), pa.int32()),
-        "sent": pa.array([v for _, v in rows], pa.binary()),
-    })
-
-
 def repeated_rows(group: pa.Table) -> pa.Table:
     """Bucket -> (chunk, bucket, sent hashes that came twice or more)."""
     arrays = [anchors.from_bytes(x) for x in group.column("sent").to_pylist()]
@@ -169,44 +156,11 @@ def repeated_rows(group: pa.Table) -> pa.Table:
     })
 
 
-def candidate_runs(scheme, chunk: Chunk, answers: pa.Table, n_buckets: int) -> Iterator[tuple]:
-    """For each part of a chunk: the number of its first document, then text number in the part, first window,
-    windows, bucket and sent hash of each run with a repeated anchor."""
-    known = [(anchors.from_bytes(x), k) for k, x in zip(answers.column("bucket").to_pylist(), answers.column("sent").to_pylist())]
-    low = np.concatenate([x for x, _ in known] or [np.zeros(0, np.uint64)])
-    key = np.sort((np.repeat(np.array([k for _, k in known], np.uint64), [len(x) for x, _ in known]) << np.uint64(40)) ^ low)
-    for a, b in chunk.parts():
-        text, first, count, value = anchors.runs(scheme, chunk.texts[a:b])
-        bucket, sent = anchors.route(value, n_buckets)
-        mine = (bucket.astype(np.uint64) << np.uint64(40)) ^ sent
-        at = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
-        hit = key[at] == mine if len(key) else np.zeros(len(mine), bool)
-        yield a, b, text[hit], first[hit], count[hit], bucket[hit], sent[hit]
-
-
-class RunTexts:
-    """The different run texts of a chunk in order of appearance, by bucket."""
-
-    def __init__(self, chunk: Chunk, answers: pa.Table, n_buckets: int):
-        self.number: dict[bytes, int] = {}
-        self.rows: list[tuple[bytes, int, int, int, int]] = []  # text, windows, bucket, sent hash, first document
-        self.uses: list[tuple[int, int, int]] = []  # document, first window, run text
-        for a, _, text, first, count, bucket, sent in candidate_runs(SCHEME, chunk, answers, n_buckets):
-            for d, f, c, k, v in zip((text + a).tolist(), first.tolist(), count.tolist(), bucket.tolist(), sent.tolist()):
-                raw = chunk.texts[d][f : f + c + LENGTH - 1]
-                i = self.number.setdefault(raw, len(self.rows))
-                if i == len(self.rows):
-                    self.rows.append((raw, c, k, v, d))
-                self.uses.append((d, f, i))
-        buckets = np.array([r[2] for r in self.rows], np.int64)
-        self.by_bucket = list(anchors.by_bucket(buckets, n_buckets)) if self.rows else []
-
-
 def run_rows(group: pa.Table, answers: pa.Table, n_buckets: int) -> pa.Table:
     """Chunk -> (bucket, chunk, blob): its different run texts with windows, sent hash and smallest id."""
     chunk = Chunk(group.column("blob").to_pylist())
-    made, ids = RunTexts(chunk, answers, n_buckets), _ids(chunk)
-    number = group.column("chunk")[0].as_py() if group.num_rows else 0
+    made, ids = RunTexts(SCHEME, chunk, answers, n_buckets), _ids(chunk)
+    number = chunk_number(group)
     out = []
     for k, at in made.by_bucket:
         rows = [made.rows[i] for i in at.tolist()]
@@ -285,23 +239,15 @@ def cut_rows(group: pa.Table, answers: pa.Table, n_buckets: int, whole: bool) ->
     """Chunk -> its documents with what is left of them. ``answers`` has repeated hashes (kind 0) and bits (kind 1)."""
     chunk = Chunk(group.column("blob").to_pylist())
     kind = answers.column("kind").to_numpy()
-    made, ids = RunTexts(chunk, answers.filter(pa.array(kind == 0)), n_buckets), _ids(chunk)
-    flags: list[np.ndarray | None] = [None] * len(made.rows)
-    told = answers.filter(pa.array(kind == 1))
-    bits = dict(zip(told.column("bucket").to_pylist(), told.column("sent").to_pylist()))
-    for k, at in made.by_bucket:
-        w = [made.rows[i][1] for i in at.tolist()]
-        every = np.unpackbits(np.frombuffer(bits[k], np.uint8)).astype(bool)
-        for i, part in zip(at.tolist(), np.split(every[: sum(w)], np.cumsum(w)[:-1])):
-            flags[i] = part
+    made, ids = RunTexts(SCHEME, chunk, answers.filter(pa.array(kind == 0)), n_buckets), _ids(chunk)
+    flags = made.flags(answers.filter(pa.array(kind == 1)))
     removed: dict[int, np.ndarray] = {}
     for d, first, i in made.uses:
         _, w, _, _, holder = made.rows[i]
         if ids[d] > ids[holder]:
-            spans = ((first, first + w - 1 + LENGTH),)
+            spans = [(first, first + w - 1 + LENGTH)]
         else:
-            at = np.flatnonzero(np.diff(flags[i].view(np.int8), prepend=0, append=0))
-            spans = tuple((first + a, first + b - 1 + LENGTH) for a, b in zip(at[::2].tolist(), at[1::2].tolist()))
+            spans = list(flagged_spans(flags[i], first, LENGTH))
         if spans:
             gone = removed.get(d)
             if gone is None:
