@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licences, ngram_rules, substring_index, suffix_dedup, zstd_quality
+from . import bpe, decontaminate, langid, licences, near_dup, ngram_rules, substring_index, suffix_dedup, zstd_quality
 from .common import table
 
 #: Rank file of the byte-level vocabulary.
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_ngram_rules": op3_ngram_rules,
     "op4_language_id": op4_language_id,
+    "op5_near_dup": op5_near_dup,
     "op6_decontaminate": op6_decontaminate,
     "op7_licences": op7_licences,
     "op8_byte_bpe": op8_byte_bpe,
