@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licences, near_dup, ngram_rules, substring_index, suffix_dedup, zstd_quality
+from . import bpe, decontaminate, gru_lm, langid, licences, near_dup, ngram_rules, substring_index, suffix_dedup, zstd_quality
 from .common import table
 
 #: Rank file of the byte-level vocabulary.
@@ -23,6 +23,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op2_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def op10_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_gru_lm": op2_gru_lm,
     "op3_ngram_rules": op3_ngram_rules,
     "op4_language_id": op4_language_id,
     "op5_near_dup": op5_near_dup,
