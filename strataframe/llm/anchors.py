@@ -16,8 +16,8 @@ import numpy as np
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _PLACE_BITS = np.uint64(24)
 _PLACE = np.uint64((1 << 24) - 1)
-#: Windows in a segment; positions inside it fit the place bits.
-SEGMENT = 1 << 22
+#: Windows in a segment: small enough for the cache, and positions inside it fit the place bits.
+SEGMENT = 1 << 15
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -132,23 +132,24 @@ def runs(scheme: Bytes | Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     found = []
     windows = n - length + 1
     if windows > 0:
-        edge = np.zeros(windows + 1, np.int32)
+        steps = np.zeros(windows + 1, np.int32)
         long = end - begin >= length
-        np.add.at(edge, begin[long], 1)
-        np.add.at(edge, end[long] - length + 1, -1)
-        valid = np.cumsum(edge[:-1]) > 0
+        np.add.at(steps, begin[long], 1)
+        np.add.at(steps, end[long] - length + 1, -1)
+        valid = np.cumsum(steps[:-1]) > 0
         for a in range(0, windows, SEGMENT):
             b = min(windows, a + SEGMENT)
             h = scheme.grams(tokens, a, b + length - k)
             place = sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), length - k + 1) & _PLACE
-            at = np.flatnonzero(valid[a:b])
-            if not len(at):
-                continue
-            text = np.searchsorted(end, at + a, side="right")
-            fresh = np.ones(len(at), bool)
-            fresh[1:] = (place[at[1:]] != place[at[:-1]]) | (np.diff(at) > 1) | (np.diff(text) > 0)
-            first = np.flatnonzero(fresh)
-            found.append((text[first], at[first] + a - begin[text[first]], np.diff(np.r_[first, len(at)]), h[place[at[first]].astype(np.int64)]))
+            # Between windows of two texts there are always places that start no window.
+            ok = valid[a:b]
+            change = np.ones(b - a + 1, bool)
+            change[1:-1] = (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])
+            edge = np.flatnonzero(change)
+            real = ok[edge[:-1]]
+            first = edge[:-1][real]
+            text = np.searchsorted(end, first + a, side="right")
+            found.append((text, first + a - begin[text], np.diff(edge)[real], h[place[first].astype(np.int64)]))
     if not found:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     return tuple(np.concatenate(x) for x in zip(*found))

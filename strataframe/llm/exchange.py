@@ -49,35 +49,47 @@ class RunTexts:
 
     def __init__(self, scheme: anchors.Bytes | anchors.Words, chunk: Chunk, answers: pa.Table, n_buckets: int):
         number: dict[bytes, int] = {}
-        self.rows: list[tuple[bytes, int, int, int, int]] = []  # text, windows, bucket, sent hash, first document
-        self.uses: list[tuple[int, int, int]] = []  # document, first window, run text
-        at, take = -1, None
+        rows: list[tuple[int, int, int, int]] = []  # windows, bucket, sent hash, first document
+        uses: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, text, first, count, bucket, sent in candidate_runs(scheme, chunk, answers, n_buckets):
-            for d, f, c, k, v in zip((text + a).tolist(), first.tolist(), count.tolist(), bucket.tolist(), sent.tolist()):
+            text = text + a
+            at, take, used = -1, None, []
+            stop = first + count + scheme.length - 1
+            for d, f, e, c, k, v in zip(*(x.tolist() for x in (text, first, stop, count, bucket, sent))):
                 if d != at:
                     at, take = d, scheme.taker(chunk.texts[d])
-                raw = take(f, f + c + scheme.length - 1)
-                i = number.setdefault(raw, len(self.rows))
-                if i == len(self.rows):
-                    self.rows.append((raw, c, k, v, d))
-                self.uses.append((d, f, i))
-        buckets = np.array([r[2] for r in self.rows], np.int64)
-        self.by_bucket = list(anchors.by_bucket(buckets, n_buckets)) if self.rows else []
-
-    def flags(self, answers: pa.Table) -> list[np.ndarray]:
-        """The buckets' answers, one bit a window, for each run text."""
-        out: list[np.ndarray | None] = [None] * len(self.rows)
+                i = number.setdefault(take(f, e), len(rows))
+                if i == len(rows):
+                    rows.append((c, k, v, d))
+                used.append(i)
+            uses.append((text, first, np.array(used, np.int64)))
+        #: Run texts in order of appearance.
+        self.raws = list(number)
+        self.windows, self.buckets, self.sent, self.holder = np.array(rows, np.int64).reshape(-1, 4).T
+        #: Of each place of a run text: document, first window, run text.
+        self.uses = [np.concatenate(x) for x in zip(*uses)] if uses else [np.zeros(0, np.int64)] * 3
+        self.by_bucket = list(anchors.by_bucket(self.buckets, n_buckets)) if rows else []
+
+    def flags(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets' answers, one flag a window, of all run texts in order, and where each run text's begin."""
+        offset = np.cumsum(self.windows) - self.windows
+        out = np.zeros(int(self.windows.sum()), bool)
         bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("sent").to_pylist()))
         for k, at in self.by_bucket:
-            w = [self.rows[i][1] for i in at.tolist()]
-            every = np.unpackbits(np.frombuffer(bits[k], np.uint8)).astype(bool)
-            for i, part in zip(at.tolist(), np.split(every[: sum(w)], np.cumsum(w)[:-1])):
-                out[i] = part
-        return out
-
-
-def flagged_spans(flags: np.ndarray, first: int, length: int) -> Iterator[tuple[int, int]]:
-    """Token spans that the flagged windows of a run cover."""
-    at = np.flatnonzero(np.diff(flags.view(np.int8), prepend=0, append=0)).tolist()
-    for a, b in zip(at[::2], at[1::2]):
-        yield first + a, first + b - 1 + length
+            places = spread(offset[at], self.windows[at])
+            out[places] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=len(places))
+        return out, offset
+
+
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... n[i] of them, for each i."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def covered(places: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Which of ``size`` tokens a window at one of the (different) places covers."""
+    starts = np.zeros(size, np.int32)
+    starts[places] = 1
+    total = np.cumsum(starts, dtype=np.int32)
+    total[length:] -= total[:-length].copy()
+    return total > 0

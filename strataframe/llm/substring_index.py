@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .common import Chunk, byte_texts, checkpoint_dir, chunk_count, chunked, pack, slices, text_bytes, unpack
-from .exchange import RunTexts, chunk_number, flagged_spans, sent_rows
+from .exchange import RunTexts, chunk_number, covered, sent_rows, spread
 
 SCHEME = anchors.Words()
 LENGTH = SCHEME.length
@@ -64,7 +64,8 @@ def _mark_rows(group: pa.Table, index: pa.Table) -> pa.Table:
     value = np.unique(np.concatenate(known or [np.zeros(0, np.uint64)]))
     rows = []
     for number, k, raw in zip(*(group.column(c).to_pylist() for c in ("chunk", "bucket", "sent"))):
-        x = np.intersect1d(anchors.from_bytes(raw), value)
+        x = anchors.from_bytes(raw)
+        x = np.unique(x[value[np.minimum(np.searchsorted(value, x), len(value) - 1)] == x]) if len(value) else value
         if len(x):
             rows.append((number, k, anchors.to_bytes(x)))
     return pa.table({
@@ -147,13 +148,12 @@ def anchor_rows(group: pa.Table, n_buckets: int) -> pa.Table:
 def run_rows(group: pa.Table, answers: pa.Table, n_buckets: int) -> pa.Table:
     """Chunk -> (bucket, chunk, blob): its different run texts with windows, sent hash and how often they stand there."""
     made = RunTexts(SCHEME, Chunk(group.column("blob").to_pylist()), answers, n_buckets)
-    times = np.bincount([i for _, _, i in made.uses], minlength=len(made.rows))
+    times = np.bincount(made.uses[2], minlength=len(made.raws))
     out = []
     for k, at in made.by_bucket:
-        rows = [made.rows[i] for i in at.tolist()]
         out.append((k, pack(pa.table({
-            "raw": pa.array([r[0] for r in rows], pa.binary()), "windows": pa.array([r[1] for r in rows], pa.int32()),
-            "sent": pa.array([r[3] for r in rows], pa.int64()), "times": pa.array(np.minimum(times[at], 2), pa.int64()),
+            "raw": pa.array([made.raws[i] for i in at.tolist()], pa.binary()), "windows": pa.array(made.windows[at], pa.int32()),
+            "sent": pa.array(made.sent[at]), "times": pa.array(np.minimum(times[at], 2)),
         }))))
     return pa.table({
         "bucket": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([chunk_number(group)] * len(out), pa.int32()),
@@ -201,26 +201,24 @@ def cut_rows(group: pa.Table, answers: pa.Table, n_buckets: int, whole: bool) ->
     chunk = Chunk(group.column("blob").to_pylist())
     kind = answers.column("kind").to_numpy()
     made = RunTexts(SCHEME, chunk, answers.filter(pa.array(kind == 0)), n_buckets)
-    flags = made.flags(answers.filter(pa.array(kind == 1)))
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for d, first, i in made.uses:
-        if flags[i].any():
-            spans.setdefault(d, []).extend(flagged_spans(flags[i], first, LENGTH))
+    flags, offset = made.flags(answers.filter(pa.array(kind == 1)))
+    doc, first, row = made.uses
     cols: dict[str, list] = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "text")}
-    for d, (doc_id, text) in enumerate(zip(chunk.ids, chunk.texts)):
-        words = text.split()
-        n = len(words)
-        if d in spans:
-            gone = np.zeros(n, bool)
-            for a, b in spans[d]:
-                gone[a:b] = True
-            words = [words[i] for i in np.flatnonzero(~gone).tolist()]
-        left = b" ".join(words)
-        cols["doc_id"].append(doc_id)
-        cols["n_words"].append(n)
-        cols["n_removed"].append(n - len(words))
-        cols["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-        cols["text"].append(left.decode() if whole else None)
+    for a, b in chunk.parts():
+        texts = [t.split() for t in chunk.texts[a:b]]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        lo, hi = np.searchsorted(doc, [a, b])
+        w = made.windows[row[lo:hi]]
+        places = spread(begin[doc[lo:hi] - a] + first[lo:hi], w)
+        gone = covered(places[flags[spread(offset[row[lo:hi]], w)]], int(sizes.sum()), LENGTH)
+        removed = np.add.reduceat(np.r_[gone, False], begin, dtype=np.int64) * (sizes > 0)
+        for d, words, at, size, n in zip(range(a, b), texts, begin.tolist(), sizes.tolist(), removed.tolist()):
+            if n:
+                words = [words[i] for i in np.flatnonzero(~gone[at : at + size]).tolist()]
+            left = b" ".join(words)
+            for c, v in zip(cols.values(), (chunk.ids[d], size, n, hashlib.sha256(left).hexdigest(), left.decode() if whole else None)):
+                c.append(v)
     kinds = (pa.int64(),) * 3 + (pa.string(),) * 2
     return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(cols.items(), kinds)})
 

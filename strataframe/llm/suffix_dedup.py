@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .common import Chunk, chunk_count, chunked, pack, text_bytes, unpack
-from .exchange import RunTexts, chunk_number, flagged_spans, sent_rows
+from .exchange import RunTexts, chunk_number, covered, sent_rows, spread
 
 LENGTH = anchors.Bytes.length
 SCHEME = anchors.Bytes()
@@ -143,13 +143,18 @@ def anchor_rows(group: pa.Table, n_buckets: int) -> pa.Table:
 def repeated_rows(group: pa.Table) -> pa.Table:
     """Bucket -> (chunk, bucket, sent hashes that came twice or more)."""
     arrays = [anchors.from_bytes(x) for x in group.column("sent").to_pylist()]
-    value, times = np.unique(np.concatenate(arrays), return_counts=True)
-    value = value[times > 1]
-    rows = []
+    value = np.concatenate(arrays)
+    order = np.argsort(value)
+    same = np.zeros(len(value) + 1, bool)
+    same[1:-1] = value[order[1:]] == value[order[:-1]]
+    again = np.zeros(len(value), bool)
+    again[order] = same[1:] | same[:-1]
+    rows, begin = [], 0
     for number, k, x in zip(group.column("chunk").to_pylist(), group.column("bucket").to_pylist(), arrays):
-        x = np.intersect1d(x, value)
-        if len(x):
-            rows.append((number, k, anchors.to_bytes(x)))
+        mine = np.unique(x[again[begin : begin + len(x)]])
+        begin += len(x)
+        if len(mine):
+            rows.append((number, k, anchors.to_bytes(mine)))
     return pa.table({
         "chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()),
         "sent": pa.array([r[2] for r in rows], pa.binary()),
@@ -160,16 +165,14 @@ def run_rows(group: pa.Table, answers: pa.Table, n_buckets: int) -> pa.Table:
     """Chunk -> (bucket, chunk, blob): its different run texts with windows, sent hash and smallest id."""
     chunk = Chunk(group.column("blob").to_pylist())
     made, ids = RunTexts(SCHEME, chunk, answers, n_buckets), _ids(chunk)
-    number = chunk_number(group)
     out = []
     for k, at in made.by_bucket:
-        rows = [made.rows[i] for i in at.tolist()]
         out.append((k, pack(pa.table({
-            "raw": pa.array([r[0] for r in rows], pa.binary()), "windows": pa.array([r[1] for r in rows], pa.int32()),
-            "sent": pa.array([r[3] for r in rows], pa.int64()), "id": pa.array(ids[[r[4] for r in rows]], pa.int64()),
+            "raw": pa.array([made.raws[i] for i in at.tolist()], pa.binary()), "windows": pa.array(made.windows[at], pa.int32()),
+            "sent": pa.array(made.sent[at]), "id": pa.array(ids[made.holder[at]]),
         }))))
     return pa.table({
-        "bucket": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([number] * len(out), pa.int32()),
+        "bucket": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([chunk_number(group)] * len(out), pa.int32()),
         "blob": pa.array([b for _, b in out], pa.binary()),
     })
 
@@ -180,6 +183,7 @@ def smaller_ids(raws: list[bytes], windows: np.ndarray, sent: np.ndarray, ids: n
     out = np.zeros(int(windows.sum()), bool)
     order = np.argsort(sent, kind="stable")
     edge = np.flatnonzero(np.diff(sent[order], prepend=-1, append=-1))
+    length = np.array([len(r) for r in raws], np.int64)
     group: list[int] = []
     size = 0
 
@@ -189,13 +193,13 @@ def smaller_ids(raws: list[bytes], windows: np.ndarray, sent: np.ndarray, ids: n
         own = np.repeat(ids[group], w)
         least = np.full(int(cls.max()) + 1, NULL_ID)
         np.minimum.at(least, cls, own)
-        out[np.repeat(offset[group] - (np.cumsum(w) - w), w) + np.arange(len(own))] = least[cls] < own
+        out[spread(offset[group], w)] = least[cls] < own
 
     for a, b in zip(edge[:-1], edge[1:]):
         if b - a < 2:
             continue  # one text only: all its windows have its own smallest id
         group += order[a:b].tolist()
-        size += sum(len(raws[i]) for i in order[a:b])
+        size += int(length[order[a:b]].sum())
         if size >= SORT_BYTES:
             settle()
             group, size = [], 0
@@ -228,10 +232,7 @@ def flag_rows(group: pa.Table) -> pa.Table:
     offset = np.cumsum(w) - w
     bits = []
     for mine, own in parts:
-        n = w[mine]
-        begin = np.cumsum(n) - n
-        at = np.repeat(offset[mine] - begin, n) + np.arange(int(n.sum()))
-        bits.append(np.packbits(flags[at] | np.repeat(least[mine] < own, n)).tobytes())
+        bits.append(np.packbits(flags[spread(offset[mine], w[mine])] | np.repeat(least[mine] < own, w[mine])).tobytes())
     return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "sent": pa.array(bits, pa.binary())})
 
 
@@ -240,31 +241,27 @@ def cut_rows(group: pa.Table, answers: pa.Table, n_buckets: int, whole: bool) ->
     chunk = Chunk(group.column("blob").to_pylist())
     kind = answers.column("kind").to_numpy()
     made, ids = RunTexts(SCHEME, chunk, answers.filter(pa.array(kind == 0)), n_buckets), _ids(chunk)
-    flags = made.flags(answers.filter(pa.array(kind == 1)))
-    removed: dict[int, np.ndarray] = {}
-    for d, first, i in made.uses:
-        _, w, _, _, holder = made.rows[i]
-        if ids[d] > ids[holder]:
-            spans = [(first, first + w - 1 + LENGTH)]
-        else:
-            spans = list(flagged_spans(flags[i], first, LENGTH))
-        if spans:
-            gone = removed.get(d)
-            if gone is None:
-                gone = removed[d] = np.zeros(len(chunk.texts[d]), bool)
-            for a, b in spans:
-                gone[a:b] = True
+    flags, offset = made.flags(answers.filter(pa.array(kind == 1)))
+    doc, first, row = made.uses
+    later = ids[doc] > ids[made.holder[row]]  # another document of the chunk has the same run text
     cols: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")}
-    for d, (i, text) in enumerate(zip(chunk.ids, chunk.texts)):
-        gone, left = removed.get(d), text
-        if gone is not None:
-            left = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        cols["doc_id"].append(i)
-        cols["n_bytes"].append(len(text))
-        cols["n_removed"].append(len(text) - len(left))
-        cols["n_spans"].append(0 if gone is None else int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1)))
-        cols["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-        cols["text"].append(left if whole else None)
+    for a, b in chunk.parts():
+        sizes = np.array([len(t) for t in chunk.texts[a:b]], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        lo, hi = np.searchsorted(doc, [a, b])
+        w = made.windows[row[lo:hi]]
+        places = spread(begin[doc[lo:hi] - a] + first[lo:hi], w)
+        flagged = flags[spread(offset[row[lo:hi]], w)] | np.repeat(later[lo:hi], w)
+        gone = covered(places[flagged], int(sizes.sum()), LENGTH)
+        removed = np.add.reduceat(np.r_[gone, False], begin, dtype=np.int64) * (sizes > 0)
+        for d, at, size, n in zip(range(a, b), begin.tolist(), sizes.tolist(), removed.tolist()):
+            left, spans = chunk.texts[d], 0
+            if n:
+                mine = gone[at : at + size]
+                left = np.frombuffer(left, np.uint8)[~mine].tobytes()
+                spans = int(mine[0]) + int(np.count_nonzero(mine[1:] > mine[:-1]))
+            for c, v in zip(cols.values(), (chunk.ids[d], size, n, spans, hashlib.sha256(left).hexdigest(), left if whole else None)):
+                c.append(v)
     kinds = (pa.int64(),) * 4 + (pa.string(), pa.binary())
     return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(cols.items(), kinds)})
 
