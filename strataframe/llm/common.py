@@ -126,8 +126,13 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def chunked(docs: DataFrame, n_chunks: int) -> DataFrame:
-    """Documents as packed rows (chunk, blob): ids and texts of the documents of a chunk, by a hash of the id.
+def others(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
+def chunked(docs: DataFrame, n_chunks: int, extra: bool = False) -> DataFrame:
+    """Documents as packed rows (chunk, blob): ids and texts of the documents of a chunk, by a hash of the id, and with
+    ``extra`` their other columns as one struct.
 
     Only packed rows are shuffled, once, by chunk; both uses of the result in one plan share that exchange.
     A null text counts as empty; rows with equal ids share a chunk.
@@ -136,7 +141,9 @@ def chunked(docs: DataFrame, n_chunks: int) -> DataFrame:
         F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+        *([F.struct(*(F.col(f"`{c}`") for c in others(docs))).alias("extra")] if extra and others(docs) else []),
     )
+    columns = keyed.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -147,7 +154,7 @@ def chunked(docs: DataFrame, n_chunks: int) -> DataFrame:
             order = np.argsort(key := whole.column("chunk").to_numpy(), kind="stable")
             edges = np.flatnonzero(np.diff(key[order], prepend=-1, append=n_chunks))
             for a, b in zip(edges[:-1], edges[1:]):
-                part = whole.select(["doc_id", "text"]).take(pa.array(order[a:b]))
+                part = whole.select(columns).take(pa.array(order[a:b]))
                 yield pa.RecordBatch.from_pydict(
                     {"chunk": pa.array([int(key[order[a]])], pa.int32()), "blob": pa.array([pack(part)], pa.binary())}
                 )
@@ -169,13 +176,16 @@ class Chunk:
     """The documents of a chunk in a fixed order: by id (null last), then text."""
 
     def __init__(self, blobs: list[bytes]):
-        rows = []
-        for blob in blobs:
-            t = unpack(blob)
-            rows += zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist())
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        self.ids = [r[0] for r in rows]
-        self.texts = [r[1] for r in rows]
+        tables = [unpack(blob) for blob in blobs]
+        ids = [i for t in tables for i in t.column("doc_id").to_pylist()]
+        texts = [x for t in tables for x in t.column("text").to_pylist()]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        self.ids = [ids[i] for i in order]
+        self.texts = [texts[i] for i in order]
+        #: The other columns, where they were packed.
+        self.extra = None
+        if tables and "extra" in tables[0].column_names:
+            self.extra = pa.concat_tables(t.select(["extra"]) for t in tables).column("extra").take(pa.array(order))
 
     def parts(self, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         """Index ranges of documents with about ``limit`` bytes together."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Chunk, chunk_count, chunked, pack, text_bytes, unpack
+from .common import Chunk, chunk_count, chunked, others, pack, text_bytes, unpack
 from .exchange import RunTexts, chunk_number, covered, sent_rows, spread
 
 LENGTH = anchors.Bytes.length
@@ -263,17 +263,19 @@ def cut_rows(group: pa.Table, answers: pa.Table, n_buckets: int, whole: bool) ->
             for c, v in zip(cols.values(), (chunk.ids[d], size, n, spans, hashlib.sha256(left).hexdigest(), left if whole else None)):
                 c.append(v)
     kinds = (pa.int64(),) * 4 + (pa.string(), pa.binary())
-    return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(cols.items(), kinds)})
+    out = pa.table({c: pa.array(v, kind) for (c, v), kind in zip(cols.items(), kinds)})
+    return out if chunk.extra is None else out.append_column("extra", chunk.extra)
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, extra: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``,
-    the remaining bytes as ``text`` (binary; a cut may part a code point).
+    the remaining bytes as ``text`` (binary; a cut may part a code point), and with ``extra`` the other columns as one
+    struct ``extra``, if there are any.
 
     Packed texts are shuffled once and read three times. One plan, so Spark reuses that exchange."""
     n_chunks = chunk_count(text_bytes(docs))
     n_buckets = n_chunks
-    packed = chunked(docs, n_chunks)
+    packed = chunked(docs, n_chunks, extra)
     answer = "chunk int, bucket int, sent binary"
     repeated = (
         packed.groupBy("chunk").applyInArrow(lambda g: anchor_rows(g, n_buckets), "bucket int, chunk int, sent binary")
@@ -285,8 +287,26 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         .groupBy("bucket").applyInArrow(flag_rows, answer)
     )
     answers = repeated.withColumn("kind", F.lit(0)).union(flags.withColumn("kind", F.lit(1)))
-    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda g, a: cut_rows(g, a, n_buckets, keep_text),
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary",
-    )
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary"
+    if extra and others(docs):
+        kind += f", extra {docs.select(F.struct(*(F.col(f'`{c}`') for c in others(docs))).alias('x')).schema['x'].dataType.simpleString()}"
+    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda g, a: cut_rows(g, a, n_buckets, keep_text), kind)
     return out if keep_text else out.drop("text")
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeats cut from their texts, all columns kept; n_chars, if there is one, follows the text.
+    The rest of a code point that a cut parts is dropped."""
+    cut_rows_ = remove_repeats(docs, extra=True)
+
+    def run(batches):
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column("text").to_pylist()]
+            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    plain = cut_rows_.select("doc_id", "text", *(["extra"] if others(docs) else []))
+    kind = ", ".join(f"{f.name} {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in plain.schema.fields)
+    made = plain.mapInArrow(run, kind)
+    cols = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col(f"extra.`{c}`").alias(c) for c in docs.columns]
+    return made.select(*cols)

@@ -12,13 +12,15 @@ Null and empty texts score what the labelled rows' share of good ones is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_hash, map_texts
+from .common import byte_texts, id_hash, map_texts, slices
 
 #: Labelled rows of each class, and code points of each text, in the sample.
 SAMPLE = 1_500
@@ -141,3 +143,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text is predicted as good; all columns stay. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                got = model(byte_texts(part.column("text")))["score"].to_numpy()
+                yield part.filter(pa.array(got >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
