@@ -2,29 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import catalog_queries, event_queries, geometry_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (catalog_queries, text_queries, geometry_queries, event_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _scene_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    total = part.agg(F.count("*").alias("object_count"))
-    first = part.orderBy("p_partkey").limit(10).select(
-        F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("type"),
-        F.col("p_retailprice").alias("x"),
-    )
-    return first.crossJoin(F.broadcast(total))
-
-
-QUERIES["scene_summary"] = _scene_summary
-ORACLES["scene_summary"] = """
-SELECT ord, name, type, x, object_count
-FROM (SELECT p_partkey AS ord, p_name AS name, p_type AS type, p_retailprice AS x FROM part ORDER BY p_partkey LIMIT 10),
-     (SELECT count(*) AS object_count FROM part)
-"""
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
