@@ -12,11 +12,11 @@ documents are kept apart or together by their ids alone: each row of documents g
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +88,7 @@ def covered(spans: np.ndarray, n: int) -> np.ndarray:
 
 
 def blocks(benchmark: DataFrame, n: int = WINDOW, max_words: int = MAX_WORDS) -> Iterator[Windows]:
-    """The benchmark's windows in sets of bounded size."""
+    """The benchmark's windows in sets of bounded size, made one after the other."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 2  # a word takes two bytes at least
     count = max(1, math.ceil(words / max_words))
@@ -133,15 +133,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_words: int
         parts = one if parts is None else parts.union(one)
 
     # Rows with equal ids and equal texts have equal hits in every block, so their places in a group don't matter.
-    def size(xs: list[int] | None, n_words: int) -> int:
-        return int(covered(np.array(xs or [], np.int64).reshape(-1, 2), n_words).sum())
+    def size(spans: pd.Series, n_words: pd.Series) -> pd.Series:
+        return pd.Series([int(covered(np.array(x, np.int64).reshape(-1, 2), n).sum()) for x, n in zip(spans, n_words)], dtype="int64")
 
     merged = parts.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         (F.count("*") / len(sets)).cast("long").alias("copies"),
     )
-    union_size = F.udf(size, "long")
+    union_size = F.pandas_udf(size, "long")
     return merged.select(
         F.explode(F.array_repeat("doc_id", F.col("copies").cast("int"))).alias("d"), "n_words",
         union_size("spans", "n_words").alias("n_hit"), "items",

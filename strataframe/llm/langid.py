@@ -63,7 +63,7 @@ def codewords(n: int) -> np.ndarray:
     """n codewords of +1 and -1 as rows. No column is constant or another's complement."""
     if n <= EXHAUSTIVE:
         columns = [[1 if k == 0 or bits >> (k - 1) & 1 else -1 for k in range(n)] for bits in range(2 ** max(n - 1, 0) - 1)]
-        return np.array(columns, np.int8).T.reshape(n, -1)
+        return np.array(columns, np.int8).T.reshape(n, len(columns))
     rng = np.random.default_rng(n)
     length = 10 * int(np.ceil(np.log2(n)))
     best, far = None, -1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, gru_lm, langid, licences, near_dup, ngram_rules, substring_index, suffix_dedup, zstd_quality
+from . import bpe, decontaminate, gru_lm, langid, licences, near_dup, ngram_rules, oracles, substring_index, suffix_dedup, zstd_quality
 from .common import table
 
 #: Rank file of the byte-level vocabulary.
@@ -71,4 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_zstd_quality": op9_zstd_quality,
     "op10_substring_index": op10_substring_index,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op6_decontaminate": oracles.DECONTAMINATE,
+    "op10_substring_index": oracles.SUBSTRING_INDEX,
+}
