@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, byte_texts, slices
+from .common import alnum_words, byte_texts, cut, slices
 
 WINDOW = 10
 #: Benchmark words in one broadcast set.
@@ -123,14 +123,17 @@ def scan_block(docs: DataFrame, windows: Windows, keep_spans: bool = False) -> D
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted ids of items with occurring windows)."""
-    sets = list(blocks(benchmark, n, max_words))
-    if len(sets) == 1:
-        return scan_block(docs, sets[0]).drop("spans")
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    sets = blocks(benchmark, n, max_words)
+    first = next(sets)
+    count = 1
     parts = None
-    for w in sets:
-        one = scan_block(keyed, w, keep_spans=True)
-        parts = one if parts is None else parts.union(one)
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    for w in sets:  # none, for a benchmark within the bound
+        parts = cut(scan_block(keyed, first, keep_spans=True)) if parts is None else parts
+        parts = parts.union(cut(scan_block(keyed, w, keep_spans=True)))
+        count += 1
+    if parts is None:
+        return scan_block(docs, first).drop("spans")
 
     # Rows with equal ids and equal texts have equal hits in every block, so their places in a group don't matter.
     def size(spans: pd.Series, n_words: pd.Series) -> pd.Series:
@@ -139,7 +142,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_words: int
     merged = parts.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        (F.count("*") / len(sets)).cast("long").alias("copies"),
+        (F.count("*") / count).cast("long").alias("copies"),
     )
     union_size = F.pandas_udf(size, "long")
     return merged.select(

@@ -212,17 +212,17 @@ def _training(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2
 
 
-def _chunk_words(chunk: Chunk, n_buckets: int) -> list[list[bytes]]:
-    """The different tokens of a chunk, sorted, by bucket."""
+def _chunk_words(chunk: Chunk, n_buckets: int) -> list[tuple[int, list[bytes]]]:
+    """The buckets that a chunk's different tokens go to, in order, each with its sorted tokens."""
     words: set[bytes] = set()
     for t in chunk.texts:
         words.update(t.translate(LOWER).split())
     words.add(END)
-    out: list[list[bytes]] = [[] for _ in range(n_buckets)]
+    out: dict[int, list[bytes]] = {}
     digest = xxhash.xxh64_intdigest
     for w in sorted(words):
-        out[digest(w) % n_buckets].append(w)
-    return out
+        out.setdefault(digest(w) % n_buckets, []).append(w)
+    return sorted(out.items())
 
 
 def count_rows(group: pa.Table, n_buckets: int) -> pa.Table:
@@ -233,7 +233,7 @@ def count_rows(group: pa.Table, n_buckets: int) -> pa.Table:
         if _training(i):
             counts.update(t.translate(LOWER).split())
             counts[END] += 1
-    rows = [(k, ws) for k, ws in enumerate(_chunk_words(chunk, n_buckets)) if ws]
+    rows = _chunk_words(chunk, n_buckets)
     blobs = [pack(pa.table({"word": pa.array(ws, pa.binary()), "n": pa.array([counts[w] for w in ws], pa.int64())})) for _, ws in rows]
     return pa.table({
         "bucket": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([chunk_number(group)] * len(rows), pa.int32()), "blob": pa.array(blobs, pa.binary()),
@@ -279,11 +279,10 @@ def score_rows(group: pa.Table, answers: pa.Table, n_buckets: int, model: Model)
     told = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
     number: dict[bytes, int] = {}
     counts = []
-    for k, words in enumerate(_chunk_words(chunk, n_buckets)):
-        if words:
-            for w in words:
-                number[w] = len(number)
-            counts.append(np.frombuffer(told[k], np.int64))
+    for k, words in _chunk_words(chunk, n_buckets):
+        for w in words:
+            number[w] = len(number)
+        counts.append(np.frombuffer(told[k], np.int64))
     c = np.concatenate(counts)
     logs = np.log10(c + 1.0)
     kinds = np.fromiter(map(model.classes.__getitem__, number), np.int64, len(number))
