@@ -38,7 +38,7 @@ def first_non_empty(*columns: Column) -> Column:
 
 def truthy(x: Column) -> Column:
     """Whether a setting's text means yes."""
-    return F.coalesce(F.lower(F.trim(x)).isin("true", "1", "yes", "on"), F.lit(False))
+    return F.coalesce(F.lower(x).isin("true", "1", "yes", "on"), F.lit(False))
 
 
 def is_web_url(x: Column) -> Column:
@@ -54,9 +54,10 @@ def base64_plain(x: Column) -> Column:
     return F.translate(F.base64(x), "\r\n", "")
 
 
-def file_suffix(url: Column) -> Column:
-    """png if the address says so, else jpeg."""
-    return F.when(url.endswith(".png"), "png").otherwise("jpeg")
+def image_format(content_type: Column, url: Column) -> Column:
+    """png if the content type or the address says so, else jpeg. A null type says nothing."""
+    png = F.coalesce(content_type.contains("png"), F.lit(False)) | url.endswith(".png")
+    return F.when(png, "png").otherwise("jpeg")
 
 
 def inside(root: str, path: Column) -> Column:

@@ -25,9 +25,10 @@ def cap_then_rank(df: DataFrame, order: str, by: str, n: int) -> DataFrame:
     return head(df, order, n).withColumn("rank", F.row_number().over(w))
 
 
-def rank_counts(df: DataFrame, key: str, n: str) -> DataFrame:
-    """Counts, largest first, ties by key, with the place in that order. ``df`` has one row a key."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(n).desc(), F.col(key))))
+def rank_counts(df: DataFrame, n: str, order: str) -> DataFrame:
+    """Counts, largest first, ties in their order, with the place that gives. ``df`` has one row a key: keys are few,
+    and the rows ranked are those keys, not what was counted."""
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(n).desc(), F.col(order))))
 
 
 def lookup(names: DataFrame, items: DataFrame, key: str) -> DataFrame:

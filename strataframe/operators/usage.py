@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import ellipsis, first_non_empty
 
-#: What an error message becomes without consent.
-MASKED_ERROR = "Error occurred (details withheld)"
+# Fixed value: what an error message becomes without consent.
+MASKED_ERROR = "Error occurred (details withheld without consent)"
 ERROR_LENGTH = 200
 
 

@@ -48,14 +48,22 @@ def catalog_truncate_then_sort(spark, sf_dir):
 
 
 def catalog_report(spark, sf_dir):
+    """The text that a client shows: a head, then each capped asset in order of downloads."""
     ranked = catalog_truncate_then_sort(spark, sf_dir)
-    line = F.format_string("- %s (downloads: %s)", F.col("name"), F.coalesce(F.col("download_count").cast("string"), F.lit("Unknown")))
-    return report(ranked.withColumn("line", line), "rank", "line")
+    more = _objects(spark, sf_dir).select("ord", "type", "size").join(F.broadcast(ranked), "ord")
+    kinds = F.array(F.lit("HDRI"), F.lit("Texture"), F.lit("Model"))
+    line = F.concat(
+        F.format_string("- %s (ID: %d)\n  Type: %s\n", F.col("name"), F.col("ord"), F.get(kinds, F.col("size") % 3)),
+        F.format_string("  Categories: %s\n  Downloads: %s\n", F.col("type"), F.coalesce(F.col("download_count").cast("string"), F.lit("Unknown"))),
+    )
+    body = report(more.withColumn("line", line), "rank", "line")
+    head = F.format_string("Found %d assets\nShowing %d assets:\n\n", F.lit(0) + ranked.agg(F.max("total_count")).scalar(), ranked.agg(F.max("returned_count")).scalar())
+    return body.select(F.concat(head, "report").alias("report"))
 
 
 def category_counts_sorted(spark, sf_dir):
     counts = _objects(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
-    return ops.rank_counts(counts, "type", "n")
+    return ops.rank_counts(counts, "n", "type")
 
 
 def object_lookup(spark, sf_dir):
@@ -138,8 +146,10 @@ FROM part ORDER BY p_partkey LIMIT 10""",
 SELECT ord, name, download_count, CAST(rank AS INTEGER) AS rank, (SELECT count(*) FROM part) AS total_count,
   CAST(least((SELECT count(*) FROM part), 20) AS BIGINT) AS returned_count FROM ranked""",
     "catalog_report": _CAPPED + """
-SELECT string_agg('- ' || name || ' (downloads: ' || coalesce(CAST(download_count AS VARCHAR), 'Unknown') || ')', chr(10) ORDER BY rank) AS report
-FROM ranked""",
+SELECT 'Found ' || (SELECT count(*) FROM part) || ' assets' || chr(10) || 'Showing ' || least((SELECT count(*) FROM part), 20) || ' assets:' || chr(10) || chr(10) ||
+  string_agg('- ' || name || ' (ID: ' || ord || ')' || chr(10) || '  Type: ' || CASE p_size % 3 WHEN 0 THEN 'HDRI' WHEN 1 THEN 'Texture' ELSE 'Model' END || chr(10) ||
+  '  Categories: ' || p_type || chr(10) || '  Downloads: ' || coalesce(CAST(download_count AS VARCHAR), 'Unknown') || chr(10), chr(10) ORDER BY rank) AS report
+FROM ranked JOIN part ON p_partkey = ord""",
     "category_counts_sorted": """
 SELECT type, n, CAST(row_number() OVER (ORDER BY n DESC, type) AS INTEGER) AS rank
 FROM (SELECT p_type AS type, count(*) AS n FROM part GROUP BY 1)""",

@@ -18,7 +18,7 @@ def string_parse(spark, sf_dir):
     return _pages(spark, sf_dir).select(
         "page_id", st.last_segment(url, "/").alias("last"), F.split_part(url, F.lit("/"), F.lit(3)).alias("host"),
         F.upper(F.split_part(url, F.lit(":"), F.lit(1))).alias("scheme"), st.is_web_url(url).alias("web"), url.contains("..").alias("dots"),
-        st.strip_prefix(url, "https://").alias("bare"), F.rtrim(url, F.lit("/")).alias("trimmed"), st.file_suffix(url).alias("suffix"),
+        st.strip_prefix(url, "https://").alias("bare"), F.rtrim(url, F.lit("/")).alias("trimmed"), st.image_format(F.when(F.col("page_id") % 3 == 0, "image/png"), url).alias("suffix"),
     )
 
 
@@ -100,7 +100,7 @@ ORACLES = {
 SELECT page_id, split_part(url, '/', -1) AS last, split_part(url, '/', 3) AS host, upper(split_part(url, ':', 1)) AS scheme,
   regexp_matches(url, '^(?i)https?://') AS web, contains(url, '..') AS dots,
   CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS bare, rtrim(url, '/') AS trimmed,
-  CASE WHEN ends_with(url, '.png') THEN 'png' ELSE 'jpeg' END AS suffix FROM pages""",
+  CASE WHEN ends_with(url, '.png') OR page_id % 3 = 0 THEN 'png' ELSE 'jpeg' END AS suffix FROM pages""",
     "truncate_ellipsis": """
 SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS short, length(text) > 200 AS long FROM documents""",
     "text_digest": "SELECT doc_id, sha256(text) AS sha256, base64(encode(text)) AS b64 FROM documents",
@@ -125,7 +125,7 @@ SELECT * FROM (VALUES ('diffuse', 'wood_floor_diffuse.jpg', CAST(0 AS BIGINT)),
 WITH r(ord, pref, scene, env) AS (VALUES (0, 'p', 's', 'e'), (1, '', 's', 'e'), (2, NULL, '', 'e'), (3, '', '', ''), (4, NULL, NULL, NULL), (5, 'p', 'TRIAL', 'e'))
 SELECT CAST(ord AS BIGINT) AS ord, coalesce(nullif(pref, ''), nullif(scene, ''), nullif(env, ''), '') AS value,
   CASE WHEN scene = 'TRIAL' THEN scene ELSE coalesce(nullif(pref, ''), nullif(scene, ''), nullif(env, ''), '') END AS trial_value,
-  coalesce(nullif(pref, ''), 'fallback') AS with_default, coalesce(lower(trim(env)) IN ('true', '1', 'yes', 'on'), false) AS "on" FROM r""",
+  coalesce(nullif(pref, ''), 'fallback') AS with_default, coalesce(lower(env) IN ('true', '1', 'yes', 'on'), false) AS "on" FROM r""",
     "envelope_route": """
 WITH r(ord, raw) AS (VALUES (0, '{"type": "get_scene", "params": {"a": 1}}'), (1, '{"type": "nope"}'), (2, '{"params": {}}'), (3, '{"type": "ping", "params": null}')),
 t AS (SELECT CAST(ord AS BIGINT) AS ord, json_extract_string(raw, '$.type') AS type, json_extract_string(raw, '$.params.a') AS a FROM r)

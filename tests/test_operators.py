@@ -55,7 +55,7 @@ def test_strings(spark):
     assert one(spark, strings.strip_prefix(F.col("j"), "job_"), j="job_12") == "12"
     assert one(spark, strings.strip_prefix(F.col("j"), "job_"), j="12") == "12"
     assert one(spark, strings.base64_plain(F.col("b")), b=b"y" * 200) == base64.b64encode(b"y" * 200).decode()
-    assert [one(spark, strings.truthy(F.col("t")), t=t) for t in ("TRUE", "1", "Yes", "on", "0", "")] == [True] * 4 + [False] * 2
+    assert [one(spark, strings.truthy(F.col("t")), t=t) for t in ("TRUE", "1", "Yes", "on", "0", "", " on")] == [True] * 4 + [False] * 3
     assert one(spark, strings.first_non_empty(F.lit(""), F.lit("s"), F.lit("e"))) == "s"
 
 
