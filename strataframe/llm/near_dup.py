@@ -10,12 +10,12 @@ count. A register's value is the time of its first point, so two texts agree in
 their weighted Jaccard similarity. Points come in order of time and stop where they can't lower any register.
 
 Candidates. Texts with equal words are one text, the smallest id standing for it. ``BANDS`` bands of ``ROWS`` registers
-give keys. Texts with a common key are compared with the smallest id that has it, never all with all; those left apart
-are compared further, a few pivots a key and round, until no key has texts in different classes that were not compared.
-So nothing that shares a key is missed, and groups of copies cost one comparison a text.
+give keys. Texts with a common key are compared with the smallest id that has it, never all with all. A text that this
+leaves outside the class of a key's smallest id, while the key has others left, is searched for: it travels once to each
+chunk of documents that has texts with one of its keys, and is looked up there in an inverted index. So nothing that
+shares a key is missed, a group of copies costs one comparison a text, and only links that join something are passed on.
 
-Verification is exact on the multisets: a pivot's text travels once to each chunk of documents that has texts to
-compare with it.
+Verification is exact on the multisets: a pivot's text travels once to each chunk that has texts to compare with it.
 
 Texts without words belong to nobody else's class; texts of fewer words than a shingle only equal themselves. A null
 text is empty. Rows with equal ids share a class; a null id has a null class.
@@ -28,19 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Chunk, byte_texts, chunk_count, chunked, cut, pack, slices, text_bytes, unpack
+from .common import Chunk, byte_texts, chunk_count, chunked, cut, pack, slices, small_batches, text_bytes, unpack
 from .components import components
 from .exchange import chunk_number
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
-#: Pivots that a key gets at most in each further round.
-PIVOTS = 4
+#: Bytes of text that are sketched at a time.
+SKETCH_BYTES = 256 << 10
+#: Texts that are searched for together in one chunk.
+SEARCH_BLOCK = 20_000
 
 _WORDS = anchors.Words()
 
@@ -118,7 +120,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SKETCH_BYTES):
                 texts = byte_texts(part.column("text"))
                 text, h, weight = shingles(texts)
                 keys = band_keys(signatures(len(texts), text, h, weight))
@@ -132,7 +134,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "content", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, content binary, keys array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, content binary, keys array<long>")
 
 
 # --- verification ---
@@ -202,10 +204,9 @@ def _compare(group: pa.Table, work: pa.Table) -> pa.Table:
 FILTER_BITS = 1 << 20
 
 
-def verify(docs: DataFrame, pairs: DataFrame, n_chunks: int) -> DataFrame:
-    """(a, b, linked) for each pair (a, b) of ids."""
+def pack_some(docs: DataFrame, ids: DataFrame, n_chunks: int) -> DataFrame:
+    """The documents whose id is in ``ids``, packed by chunk, and a few others that share a filter bit with one."""
     bit = F.pmod(F.xxhash64("id", F.lit("bit")), F.lit(FILTER_BITS)).cast("int")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     have = np.zeros(FILTER_BITS, bool)
     have[ids.select(bit.alias("bit")).distinct().toPandas()["bit"].to_numpy(np.int64)] = True
 
@@ -217,7 +218,11 @@ def verify(docs: DataFrame, pairs: DataFrame, n_chunks: int) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("bit")), F.lit(FILTER_BITS)).cast("int").alias("bit"),
     ).mapInArrow(run, "doc_id long, text string")
-    packed = chunked(some, n_chunks)
+    return chunked(some, n_chunks)
+
+
+def verify(packed: DataFrame, pairs: DataFrame, n_chunks: int) -> DataFrame:
+    """(a, b, linked) for each pair (a, b) of ids whose documents are in ``packed``."""
     asked = pairs.select(_chunk_of("b", n_chunks).alias("chunk"), F.col("b").alias("pivot"), _chunk_of("a", n_chunks).alias("target")).distinct()
     kind = "chunk int, a long, b long, blob binary"
     texts = packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_send, kind)
@@ -225,6 +230,67 @@ def verify(docs: DataFrame, pairs: DataFrame, n_chunks: int) -> DataFrame:
     return packed.groupBy("chunk").cogroup(work.groupBy("chunk")).applyInArrow(_compare, "a long, b long, linked boolean")
 
 
+def elements(text: bytes) -> np.ndarray:
+    """The multiset as a set of sorted hashes: the k-th copy of a shingle is an element of its own."""
+    h, n = multiset(text)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.sort(_random(np.repeat(h, n) + k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _search(group: pa.Table, asked: pa.Table) -> pa.Table:
+    """Links between the texts that are searched for and the chunk's texts, as a forest: what is connected already
+    isn't told again."""
+    chunk = Chunk(group.column("blob").to_pylist())
+    ids: list[int] = []
+    sets: list[np.ndarray] = []
+    for blob in asked.column("blob").to_pylist():
+        t = unpack(blob)
+        ids += t.column("pivot").to_pylist()
+        sets += map(elements, t.column("text").to_pylist())
+    out: list[tuple[int, int]] = []
+    if sets:
+        sizes = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        owner = owner[order]
+        known, begin = np.unique(flat[order], return_index=True)
+        end = np.r_[begin[1:], len(flat)]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for doc, text in zip(chunk.ids, chunk.texts):
+            mine = elements(text)
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            at = at[known[at] == mine]
+            if not len(at):
+                continue
+            n = end[at] - begin[at]
+            common = np.bincount(owner[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(sets))
+            union = sizes + len(mine) - common
+            for i in np.flatnonzero(5 * common >= 4 * union).tolist():
+                a, b = find(doc), find(ids[i])
+                if a != b:
+                    parent[a] = b
+                    out.append((doc, ids[i]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def search(packed: DataFrame, asked: DataFrame, n_chunks: int) -> DataFrame:
+    """(a, b) links found for rows (pivot, target): the text ``pivot`` among all texts of chunk ``target``. A chunk that
+    many are searched in is searched in blocks."""
+    asked = cut(asked.distinct())
+    most = asked.groupBy("target").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // SEARCH_BLOCK))
+    here = asked.select(_chunk_of("pivot", n_chunks).alias("chunk"), "pivot", (F.col("target") * blocks + F.pmod(F.xxhash64("pivot", F.lit("block")), F.lit(blocks))).cast("int").alias("target"))
+    texts = packed.groupBy("chunk").cogroup(here.groupBy("chunk")).applyInArrow(_send, "chunk int, a long, b long, blob binary")
+    parts = packed.select(F.explode(F.sequence(F.col("chunk") * blocks, F.col("chunk") * blocks + (blocks - 1))).alias("chunk"), "blob")
+    return parts.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_search, "a long, b long")
+
+
 # --- classes ---
 
 
@@ -232,32 +298,21 @@ def link_texts(docs: DataFrame, members: DataFrame, n_chunks: int) -> DataFrame:
     """(id, root) of the different texts that share keys: ``members`` has rows (key, pivot, doc), the pivot being the
     key's smallest id.
 
-    All texts of a key are compared with its pivot. A text that isn't in the pivot's class then becomes a pivot
-    itself, ``PIVOTS`` a key and round, until none is left; so each pair of a key is compared, or both are in the
-    pivot's class."""
+    All texts of a key are compared with its pivot. Then each text outside the pivot's class is searched for among all
+    others of the key, if there are any besides the pivot and its own class. So each pair of a key is compared, or
+    both are in one class."""
+    packed = cut(pack_some(docs, members.select(F.col("doc").alias("id")), n_chunks))
     pairs = cut(members.where("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
-    done = used = None
-    while True:
-        found = cut(verify(docs, pairs, n_chunks))
-        done = found if done is None else done.union(found)
-        roots = cut(components(done.where("linked")))
-        named = members.join(roots, members.doc == roots.id, "left").select("key", "pivot", "doc", F.coalesce("root", "doc").alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "doc").alias("main"))
-        apart = cut(named.join(mixed.where("low != high").select("key", "main"), "key"))
-        left = apart.where("root != main").select("key", "doc")
-        if used is not None:
-            left = left.join(used, ["key", "doc"], "left_anti")
-        turn = cut(left.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)).alias("slot")).agg(F.min("doc").alias("next")).select("key", "next"))
-        if turn.isEmpty():
-            return roots
-        mine = turn.select("key", F.col("next").alias("doc"))
-        used = mine if used is None else used.union(mine)
-        own = apart.select(F.col("key").alias("k"), F.col("doc").alias("d"), F.col("root").alias("own"))
-        asked = turn.join(own, (turn.key == own.k) & (turn.next == own.d)).select("key", "next", "own")
-        pairs = cut(
-            apart.join(asked, "key").where("root != own and doc != pivot")
-            .select(F.col("doc").alias("a"), F.col("next").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        )
+    found = cut(verify(packed, pairs, n_chunks).where("linked").select("a", "b"))
+    roots = cut(components(found))
+    named = members.join(roots, members.doc == roots.id, "left").select("key", "pivot", "doc", F.coalesce("root", "doc").alias("root"))
+    in_key = named.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("doc") == F.col("pivot"), F.col("root"))).alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = cut(named.join(in_key.where("low != high and n > 2").select("key", "n", "main"), "key"))
+    like = mixed.groupBy("key", "root").agg(F.count("*").alias("like"))
+    outside = mixed.where("root != main").join(like, ["key", "root"]).where("n - like - 1 > 0").select("key", F.col("doc").alias("pivot"))
+    places = mixed.select("key", _chunk_of("doc", n_chunks).alias("target")).distinct()
+    more = search(packed, outside.join(places, "key").select("pivot", "target"), n_chunks)
+    return cut(components(found.union(more)))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -275,6 +330,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class; all columns stay. A row with a null id stays."""
+    """The document with the smallest id of each class; all columns stay. Of rows with equal ids one stays; rows with a
+    null id stay, one for each text. The anti join and the window share one exchange of the texts, by id."""
     gone = classes(docs.select("doc_id", "text")).where("class_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rest = docs.join(gone, "doc_id", "left_anti")
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return rest.select(*kept, F.row_number().over(same).alias("_row")).where("_row = 1").select(*kept)
