@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices
+from .common import SLICE_BYTES, slices, small_batches
 
 #: Pieces held by a worker's cache before it starts anew.
 CACHE_PIECES = 400_000
@@ -243,7 +243,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -
     """Replace ``text`` by ``ids`` (binary: little-endian unsigned 32-bit ids) and ``token_ends`` (binary:
     little-endian signed 64-bit byte offsets where each token ends; left out without ``offsets``). Other columns stay,
     and so does each row. No shuffle."""
-    kept = [c for c in df.columns if c not in (text, "ids", "token_ends")]
+    kept = [c for c in small_batches(df).columns if c not in (text, "ids", "token_ends")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)

@@ -18,9 +18,14 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a worker handles at a time inside a batch.
 SLICE_BYTES = 1 << 20
+#: Bytes of text that a task holds before it packs them.
+PACK_BYTES = 24 << 20
 #: Bytes of text in a chunk, on average; a single longer document makes its chunk longer.
 CHUNK_BYTES = 8 << 20
 
+#: Bytes of an Arrow batch between Spark and a worker; Spark's own bound is 64 MB, of which both sides hold copies.
+BATCH_BYTES = 4 << 20
+
 ASCII_UPPER = bytes(range(65, 91))
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
@@ -34,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session exchanges batches of ``BATCH_BYTES`` with workers from now on, if not smaller ones."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def id_hash(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -76,7 +89,7 @@ def map_texts(
     ``score`` is built on the worker by calling it with the texts of a slice only, so memory is bounded by a slice
     and not by the partition. No shuffle.
     """
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in small_batches(df).columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +150,7 @@ def chunked(docs: DataFrame, n_chunks: int, extra: bool = False) -> DataFrame:
     Only packed rows are shuffled, once, by chunk; both uses of the result in one plan share that exchange.
     A null text counts as empty; rows with equal ids share a chunk.
     """
-    keyed = docs.select(
+    keyed = small_batches(docs).select(
         F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
@@ -160,10 +173,10 @@ def chunked(docs: DataFrame, n_chunks: int, extra: bool = False) -> DataFrame:
                 )
 
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", BATCH_BYTES):
                 held.append(part)
                 size += part.nbytes
-                if size > 32 << 20:
+                if size > PACK_BYTES:
                     yield from flush()
                     held, size = [], 0
         if held:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, byte_texts, cut, slices
+from .common import alnum_words, byte_texts, cut, slices, small_batches
 
 WINDOW = 10
 #: Benchmark words in one broadcast set.
@@ -100,7 +100,7 @@ def blocks(benchmark: DataFrame, n: int = WINDOW, max_words: int = MAX_WORDS) ->
 def scan_block(docs: DataFrame, windows: Windows, keep_spans: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, items array<string>, and with ``keep_spans`` the text and spans array<long>
     (start, length, start, length ...). No shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(windows)
+    held = small_batches(docs).sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
@@ -163,7 +163,7 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
     """The documents without any benchmark window; all columns stay. No shuffle; a block after the other."""
     for windows in blocks(benchmark, n, max_words):
-        held = docs.sparkSession.sparkContext.broadcast(windows)
+        held = small_batches(docs).sparkSession.sparkContext.broadcast(windows)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             w = held.value

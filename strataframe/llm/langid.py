@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_hash, slices
+from .common import byte_texts, id_hash, slices, small_batches
 
 #: Documents, and bytes of each, in the sample that the classifiers are fitted on; most languages.
 SAMPLE = 2_400
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out():

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Chunk, byte_texts, checkpoint_dir, chunk_count, chunked, pack, slices, text_bytes, unpack
+from .common import Chunk, byte_texts, checkpoint_dir, chunk_count, chunked, pack, slices, small_batches, text_bytes, unpack
 from .exchange import RunTexts, chunk_number, covered, sent_rows, spread
 
 SCHEME = anchors.Words()
@@ -110,7 +110,7 @@ class FingerprintIndex:
             if sum(map(len, held)):
                 yield flush()
 
-        return docs.select("text").mapInArrow(run, _RUN)
+        return small_batches(docs).select("text").mapInArrow(run, _RUN)
 
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.folder}/run-{uuid.uuid4().hex}"

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_hash, map_texts, slices
+from .common import byte_texts, id_hash, map_texts, slices, small_batches
 
 #: Labelled rows of each class, and code points of each text, in the sample.
 SAMPLE = 1_500
@@ -154,4 +154,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
                 got = model(byte_texts(part.column("text")))["score"].to_numpy()
                 yield part.filter(pa.array(got >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
