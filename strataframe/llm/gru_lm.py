@@ -20,15 +20,16 @@ A null text is empty and has only its end. Rows with equal ids count each. Witho
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Chunk, chunk_count, chunked, cut, id_hash, pack, text_bytes, unpack
+from .anchors import by_bucket, rolling
+from .common import Chunk, chunk_count, chunked, cut, id_hash, pack, text_bytes, unpack
 from .exchange import chunk_number
 
 #: Documents, and tokens of each, that the network is fitted on.
@@ -44,31 +45,66 @@ WINDOW = 256
 EPOCHS = 3
 #: Texts that are scored side by side.
 LANES = 1024
-END = b""
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-cased words, then the end (the empty string, which no word is)."""
-    return [*text.translate(LOWER).split(), END]
+class Tokens:
+    """The tokens of some texts: lower-cased words, then the end, as numbers. Numbers are places in ``words``, in order
+    of appearance; the end is number 0 and the empty string, which no word is."""
 
+    def __init__(self, texts: list[bytes]):
+        lowered = pc.ascii_lower(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        split = pc.ascii_split_whitespace(lowered)
+        # White space at either end leaves empty strings; they are dropped, and one end a text is put behind its words.
+        coded = pa.concat_arrays([pa.array([""], pa.large_string()), split.flatten()]).dictionary_encode()
+        self.words: pa.Array = coded.dictionary
+        number = coded.indices.to_numpy(zero_copy_only=False)[1:].astype(np.int64)
+        real = number > 0
+        text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))[real]
+        sizes = np.bincount(text, minlength=len(texts)) + 1
+        self.ends = np.cumsum(sizes)
+        self.numbers = np.zeros(int(sizes.sum()), np.int64)
+        last = np.zeros(len(self.numbers), bool)
+        last[self.ends - 1] = True
+        self.numbers[~last] = number[real]
 
-class ClassMap(dict):
-    """Token -> class; a word outside the list is looked up once."""
+    def of_texts(self, values: np.ndarray) -> list[np.ndarray]:
+        """``values``, one a token, cut into texts."""
+        return np.split(values, self.ends[:-1]) if len(self.ends) else []
 
-    def __init__(self, frequent: list[bytes]):
-        super().__init__({END: 0})
-        self.update((w, i + 1) for i, w in enumerate(frequent[: SINGLE - 1]))
-        self.frequent = frequent
 
-    def __missing__(self, word: bytes) -> int:
-        return SINGLE + xxhash.xxh32_intdigest(word[-2:] + bytes([min(len(word), 12)])) % SHARED
+def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a string array, and where each string begins and ends."""
+    words = pa.concat_arrays([words]) if words.offset else words
+    raw = words.buffers()[2]
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+    return np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8), offsets[:-1], offsets[1:]
 
-    def __reduce__(self):
-        return ClassMap, (self.frequent,)
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    raw, begin, end = _buffers(words)
+    return rolling(raw.astype(np.uint64) + np.uint64(1), begin, end)
+
+
+class ClassMap:
+    """Tokens to classes: 0 for the end, one for each frequent word, shared ones by last two bytes and length."""
+
+    def __init__(self, frequent: list[str]):
+        self.frequent = frequent[: SINGLE - 1]
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        raw, begin, end = _buffers(words)
+        size = end - begin
+        padded = np.r_[np.zeros(2, np.uint8), raw].astype(np.int64)
+        one = np.where(size > 0, padded[end + 1], 0)
+        two = np.where(size > 1, padded[end], 0)
+        shape = (one | two << 8 | np.minimum(size, 12) << 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = SINGLE + ((shape >> np.uint64(40)) % np.uint64(SHARED)).astype(np.int64)
+        place = pc.index_in(words, value_set=pa.array(["", *self.frequent], pa.large_string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.where(place >= 0, place, out)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Network:
@@ -81,15 +117,15 @@ class Network:
         self.p = {"wx": draw(CLASSES + 1, 3 * HIDDEN), "wh": draw(HIDDEN, 3 * HIDDEN), "wo": draw(HIDDEN, CLASSES), "bo": np.zeros(CLASSES, np.float32)}
 
     def step(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The state behind inputs ``x`` (classes)."""
+        """The state behind inputs ``x`` (classes). The reset gate acts on the recurrent part of the candidate."""
         p, n = self.p, HIDDEN
-        a = p["wx"][x]
-        zr = _sigmoid(a[:, : 2 * n] + h @ p["wh"][:, : 2 * n])
+        a, u = p["wx"][x], h @ p["wh"]
+        zr = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
         z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(a[:, 2 * n :] + (r * h) @ p["wh"][:, 2 * n :])
+        c = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
         new = h + z * (c - h)
         if keep is not None:
-            keep.append((x, h, z, r, c, new))
+            keep.append((x, h, z, r, c, u[:, 2 * n :], new))
         return new
 
     def log_probs(self, h: np.ndarray) -> np.ndarray:
@@ -133,7 +169,7 @@ class Network:
         last, total = h, max(int((y >= 0).sum()), 1)
         g = {k: np.zeros_like(w) for k, w in p.items()}
         dh = np.zeros_like(h)
-        for (xs, before, z, r, c, after), target in zip(reversed(steps), y[::-1]):
+        for (xs, before, z, r, c, uc, after), target in zip(reversed(steps), y[::-1]):
             real = target >= 0
             d = np.exp(self.log_probs(after))
             d[np.arange(len(target)), np.maximum(target, 0)] -= 1
@@ -143,38 +179,47 @@ class Network:
             dh = dh + d @ p["wo"].T
             dc = dh * z * (1 - c * c)
             dz = dh * (c - before) * z * (1 - z)
-            drh = dc @ p["wh"][:, 2 * n :].T
-            dr = drh * before * r * (1 - r)
-            da = np.concatenate([dz, dr, dc], 1)
-            np.add.at(g["wx"], xs, da)
-            g["wh"][:, : 2 * n] += before.T @ da[:, : 2 * n]
-            g["wh"][:, 2 * n :] += (r * before).T @ dc
-            dh = dh * (1 - z) + drh * r + da[:, : 2 * n] @ p["wh"][:, : 2 * n].T
+            dr = dc * uc * r * (1 - r)
+            np.add.at(g["wx"], xs, np.concatenate([dz, dr, dc], 1))
+            du = np.concatenate([dz, dr, dc * r], 1)
+            g["wh"] += before.T @ du
+            dh = dh * (1 - z) + du @ p["wh"].T
         return g, last
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural-log probability of each text's classes. Texts run side by side, longest first; the state is
         carried from window to window."""
         out = np.zeros(len(texts))
-        by_length = np.argsort([-len(x) for x in texts], kind="stable")
+        lengths_ = np.array([len(x) for x in texts])
+        by_length = np.argsort(-lengths_, kind="stable")
+        n3 = 3 * HIDDEN
+        # One product a step gives the output of a state and what it adds to the next state's gates.
+        both = np.concatenate([self.p["wh"], self.p["wo"]], 1)
+        wx, bo = self.p["wx"], self.p["bo"]
         for a in range(0, len(texts), LANES):
             which = by_length[a : a + LANES]
-            lengths = np.array([len(texts[i]) for i in which])
-            h = np.zeros((len(which), HIDDEN), np.float32)
-            total, before = np.zeros(len(which)), np.full(len(which), CLASSES)
-            for begin in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
+            lengths = lengths_[which]
+            n = len(which)
+            h, before = np.zeros((n, HIDDEN), np.float32), np.full(n, CLASSES)
+            total, u = np.zeros(n), np.zeros((n, n3), np.float32)
+            for begin in range(0, int(lengths.max(initial=0)), WINDOW):
                 live = int(np.searchsorted(-lengths, -begin))  # texts longer than begin
                 y = np.zeros((min(WINDOW, int(lengths[0]) - begin), live), np.int64)
                 for j in range(live):
                     part = texts[which[j]][begin : begin + WINDOW]
                     y[: len(part), j] = part
-                for s, target in enumerate(y):
-                    n = int(np.searchsorted(-lengths[:live], -(begin + s)))
-                    if not n:
-                        break
-                    h[:n] = new = self.step(before[:n], h[:n])
-                    total[:n] += self.log_probs(new)[np.arange(n), target[:n]]
-                    before[:n] = target[:n]
+                going = np.searchsorted(-lengths[:live], -(begin + np.arange(len(y)))).tolist()
+                for target, n in zip(y, going):
+                    gates = wx[before[:n]]
+                    gates[:, : 2 * HIDDEN] += u[:n, : 2 * HIDDEN]
+                    zr = _sigmoid(gates[:, : 2 * HIDDEN])
+                    c = np.tanh(gates[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * u[:n, 2 * HIDDEN :])
+                    h = h[:n]
+                    h = h + zr[:, :HIDDEN] * (c - h)
+                    made = h @ both
+                    u, logits = made[:, :n3], made[:, n3:] + bo
+                    before = target[:n]
+                    total[:n] += logits[np.arange(n), before] - np.log(np.exp(logits).sum(1))
             out[which] = total
         return out
 
@@ -195,11 +240,12 @@ def train(docs: DataFrame) -> Model:
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(math.ceil(min(1.0, 1.2 * SAMPLE / n) * (1 << 20)))
     got = rows.where(chosen).select("doc_id", F.substring("text", 1, 16 * SAMPLE_TOKENS).alias("text")).limit(2 * SAMPLE).collect()
     got.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))
-    texts = [tokens(r.text.encode())[:SAMPLE_TOKENS] for r in got]
-    counts = Counter(w for t in texts for w in t if w != END)
-    classes = ClassMap([w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SINGLE - 1]])
+    sample = Tokens([r.text.encode() for r in got])
+    count = np.bincount(sample.numbers, minlength=len(sample.words))[1:]
+    ranked = sorted(zip((-count).tolist(), sample.words.to_pylist()[1:]))
+    classes = ClassMap([w for _, w in ranked[: SINGLE - 1]])
     network = Network()
-    network.fit([list(map(classes.__getitem__, t)) for t in texts])
+    network.fit([x[:SAMPLE_TOKENS].tolist() for x in sample.of_texts(classes(sample.words)[sample.numbers])])
     return Model(classes, network)
 
 
@@ -207,61 +253,46 @@ def train(docs: DataFrame) -> Model:
 
 
 def _training(doc_id: int | None) -> bool:
-    import zlib
-
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2
 
 
-def _chunk_words(chunk: Chunk, n_buckets: int) -> list[tuple[int, list[bytes]]]:
-    """The buckets that a chunk's different tokens go to, in order, each with its sorted tokens."""
-    words: set[bytes] = set()
-    for t in chunk.texts:
-        words.update(t.translate(LOWER).split())
-    words.add(END)
-    out: dict[int, list[bytes]] = {}
-    digest = xxhash.xxh64_intdigest
-    for w in sorted(words):
-        out.setdefault(digest(w) % n_buckets, []).append(w)
-    return sorted(out.items())
+def _routed(tokens: Tokens, n_buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets that the different tokens go to, with their numbers."""
+    bucket = (word_hashes(tokens.words) % np.uint64(n_buckets)).astype(np.int64)
+    return list(by_bucket(bucket, n_buckets))
 
 
 def count_rows(group: pa.Table, n_buckets: int) -> pa.Table:
     """Chunk -> (bucket, chunk, blob): its different tokens and their counts in training documents."""
     chunk = Chunk(group.column("blob").to_pylist())
-    counts: Counter[bytes] = Counter()
-    for i, t in zip(chunk.ids, chunk.texts):
-        if _training(i):
-            counts.update(t.translate(LOWER).split())
-            counts[END] += 1
-    rows = _chunk_words(chunk, n_buckets)
-    blobs = [pack(pa.table({"word": pa.array(ws, pa.binary()), "n": pa.array([counts[w] for w in ws], pa.int64())})) for _, ws in rows]
+    tokens = Tokens(chunk.texts)
+    weight = np.repeat([_training(i) for i in chunk.ids], np.diff(tokens.ends, prepend=0))
+    counts = np.bincount(tokens.numbers, weight, len(tokens.words)).astype(np.int64)
+    rows = [(k, pack(pa.table({"word": tokens.words.take(pa.array(at)), "n": counts[at]}))) for k, at in _routed(tokens, n_buckets)]
     return pa.table({
-        "bucket": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([chunk_number(group)] * len(rows), pa.int32()), "blob": pa.array(blobs, pa.binary()),
+        "bucket": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([chunk_number(group)] * len(rows), pa.int32()),
+        "blob": pa.array([b for _, b in rows], pa.binary()),
     })
 
 
 def total_rows(group: pa.Table, classes: ClassMap) -> pa.Table:
     """Bucket -> for each chunk the counts of the tokens it sent, in order; and for chunk -1 - bucket the bucket's own
     sums: tokens and different tokens, in all and by class."""
-    totals: dict[bytes, int] = {}
-    parts = []
-    for blob in group.column("blob").to_pylist():
-        t = unpack(blob)
-        words = t.column("word").to_pylist()
-        for w, n in zip(words, t.column("n").to_pylist()):
-            totals[w] = totals.get(w, 0) + n
-        parts.append(words)
-    answers = [np.array([totals[w] for w in ws], np.int64).tobytes() for ws in parts]
-    sums = np.zeros((2, CLASSES), np.int64)
-    for w, n in totals.items():
-        if n:
-            k = classes[w]
-            sums[0, k] += n
-            sums[1, k] += 1
+    tables = [unpack(blob) for blob in group.column("blob").to_pylist()]
+    every = pa.concat_tables(tables)
+    coded = every.column("word").combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    number = coded.indices.to_numpy(zero_copy_only=False)
+    totals = np.bincount(number, every.column("n").to_numpy(), len(coded.dictionary)).astype(np.int64)
+    sizes = np.cumsum([t.num_rows for t in tables])[:-1]
+    answers = [x.tobytes() for x in np.split(totals[number], sizes)]
+    kinds = classes(coded.dictionary)
+    sums = np.array([np.bincount(kinds, totals, CLASSES), np.bincount(kinds, totals > 0, CLASSES)]).astype(np.int64)
     bucket = group.column("bucket")
-    number = bucket[0].as_py()
+    own = bucket[0].as_py()
     return pa.table({
-        "chunk": pa.array([*group.column("chunk").to_pylist(), -1 - number], pa.int32()), "bucket": pa.array([*bucket.to_pylist(), number], pa.int32()),
+        "chunk": pa.array([*group.column("chunk").to_pylist(), -1 - own], pa.int32()), "bucket": pa.array([*bucket.to_pylist(), own], pa.int32()),
         "counts": pa.array([*answers, sums.tobytes()], pa.binary()),
     })
 
@@ -277,24 +308,20 @@ def score_rows(group: pa.Table, answers: pa.Table, n_buckets: int, model: Model)
         return pa.table([*cols, answers.column("counts").cast(pa.binary())], names=[c.split()[0] for c in SCORED.split(", ")])
     chunk = Chunk(group.column("blob").to_pylist())
     told = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
-    number: dict[bytes, int] = {}
-    counts = []
-    for k, words in _chunk_words(chunk, n_buckets):
-        for w in words:
-            number[w] = len(number)
-        counts.append(np.frombuffer(told[k], np.int64))
-    c = np.concatenate(counts)
-    logs = np.log10(c + 1.0)
-    kinds = np.fromiter(map(model.classes.__getitem__, number), np.int64, len(number))
-    texts = [np.fromiter(map(number.__getitem__, tokens(t)), np.int64) for t in chunk.texts]
-    sequences = [kinds[x] for x in texts]
+    tokens = Tokens(chunk.texts)
+    c = np.zeros(len(tokens.words), np.int64)
+    for k, at in _routed(tokens, n_buckets):
+        c[at] = np.frombuffer(told[k], np.int64)
+    kinds = model.classes(tokens.words)
+    sequences = tokens.of_texts(kinds[tokens.numbers])
     likely = model.network.score(sequences) / math.log(10)
+    begin = np.r_[0, tokens.ends[:-1]]
+    sums = lambda x: np.add.reduceat(x[tokens.numbers], begin)
     return pa.table({
-        "doc_id": pa.array(chunk.ids, pa.int64()), "n_tokens": pa.array([len(x) for x in texts], pa.int64()),
-        "n_known": pa.array([int((c[x] > 0).sum()) for x in texts], pa.int64()),
-        "count_score": pa.array([float(logs[x].sum()) for x in texts], pa.float64()), "class_score": pa.array(likely, pa.float64()),
+        "doc_id": pa.array(chunk.ids, pa.int64()), "n_tokens": np.diff(tokens.ends, prepend=0),
+        "n_known": sums((c > 0).astype(np.int64)), "count_score": sums(np.log10(c + 1.0)), "class_score": pa.array(likely, pa.float64()),
         "in_class": pa.array([np.bincount(x, minlength=CLASSES).astype(np.int32).tobytes() for x in sequences], pa.binary()),
-        "sums": pa.nulls(len(texts), pa.binary()),
+        "sums": pa.nulls(len(sequences), pa.binary()),
     })
 
 
