@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices, small_batches
+from .common import SLICE_BYTES, release, slices, small_batches
 
 #: Pieces held by a worker's cache before it starts anew.
 CACHE_PIECES = 400_000
@@ -256,6 +256,8 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), *made], names=[*kept, "ids", "token_ends"][: len(kept) + len(made)]
                 )
+        vocab.clear()
+        release()
 
     keep = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept]
     made = ["ids binary", "token_ends binary"][: 1 + offsets]

@@ -7,6 +7,9 @@ so Spark moves few, large, evenly spread rows instead of one row per window.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import math
 from collections.abc import Callable, Iterator
 
@@ -47,6 +50,31 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give freed memory back: Spark keeps workers for later stages, and else each keeps the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The function on groups, with its memory given back behind each group."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    def alone(left: pa.Table) -> pa.Table:
+        try:
+            return f(left)
+        finally:
+            release()
+
+    return run if len(inspect.signature(f).parameters) == 2 else alone
+
+
 def id_hash(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's decimal text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -99,6 +127,7 @@ def map_texts(
                     [*(part.column(c) for c in kept), *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())],
                     names=[*kept, *made],
                 )
+        release()
 
     keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
     return df.mapInArrow(run, f"{keep}, {schema}" if keep else schema)
@@ -181,6 +210,8 @@ def chunked(docs: DataFrame, n_chunks: int, extra: bool = False) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from flush()
+        held = []
+        release()
 
     return keyed.mapInArrow(run, "chunk int, blob binary")
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Chunk, byte_texts, chunk_count, chunked, cut, pack, slices, small_batches, text_bytes, unpack
+from .common import Chunk, byte_texts, chunk_count, chunked, cut, pack, release, slices, small_batches, text_bytes, trimmed, unpack
 from .components import components
 from .exchange import chunk_number
 
@@ -133,6 +133,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id"), pa.array(content, pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
                     names=["doc_id", "content", "keys"],
                 )
+        release()
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, content binary, keys array<long>")
 
@@ -225,9 +226,9 @@ def verify(packed: DataFrame, pairs: DataFrame, n_chunks: int) -> DataFrame:
     """(a, b, linked) for each pair (a, b) of ids whose documents are in ``packed``."""
     asked = pairs.select(_chunk_of("b", n_chunks).alias("chunk"), F.col("b").alias("pivot"), _chunk_of("a", n_chunks).alias("target")).distinct()
     kind = "chunk int, a long, b long, blob binary"
-    texts = packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_send, kind)
+    texts = packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(trimmed(_send), kind)
     work = texts.union(pairs.select(_chunk_of("a", n_chunks).alias("chunk"), "a", "b", F.lit(None).cast("binary").alias("blob")))
-    return packed.groupBy("chunk").cogroup(work.groupBy("chunk")).applyInArrow(_compare, "a long, b long, linked boolean")
+    return packed.groupBy("chunk").cogroup(work.groupBy("chunk")).applyInArrow(trimmed(_compare), "a long, b long, linked boolean")
 
 
 def elements(text: bytes) -> np.ndarray:
@@ -286,9 +287,9 @@ def search(packed: DataFrame, asked: DataFrame, n_chunks: int) -> DataFrame:
     most = asked.groupBy("target").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-most // SEARCH_BLOCK))
     here = asked.select(_chunk_of("pivot", n_chunks).alias("chunk"), "pivot", (F.col("target") * blocks + F.pmod(F.xxhash64("pivot", F.lit("block")), F.lit(blocks))).cast("int").alias("target"))
-    texts = packed.groupBy("chunk").cogroup(here.groupBy("chunk")).applyInArrow(_send, "chunk int, a long, b long, blob binary")
+    texts = packed.groupBy("chunk").cogroup(here.groupBy("chunk")).applyInArrow(trimmed(_send), "chunk int, a long, b long, blob binary")
     parts = packed.select(F.explode(F.sequence(F.col("chunk") * blocks, F.col("chunk") * blocks + (blocks - 1))).alias("chunk"), "blob")
-    return parts.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_search, "a long, b long")
+    return parts.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(trimmed(_search), "a long, b long")
 
 
 # --- classes ---

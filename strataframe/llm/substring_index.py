@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Chunk, byte_texts, checkpoint_dir, chunk_count, chunked, pack, slices, small_batches, text_bytes, unpack
+from .common import Chunk, byte_texts, checkpoint_dir, chunk_count, chunked, pack, slices, small_batches, text_bytes, trimmed, unpack
 from .exchange import RunTexts, chunk_number, covered, sent_rows, spread
 
 SCHEME = anchors.Words()
@@ -125,18 +125,18 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame) -> None:
         """Add a batch as a run of its own; merge the runs when there are many."""
-        self.runs.append(self._write(self.fingerprints(docs).groupBy("bucket").applyInArrow(_merge_rows, _RUN)))
+        self.runs.append(self._write(self.fingerprints(docs).groupBy("bucket").applyInArrow(trimmed(_merge_rows), _RUN)))
         if len(self.runs) >= FAN_IN:
             self.compact()
 
     def compact(self) -> None:
         """Merge all runs into one. The old runs stay until the folder goes, so a reader that has them can go on."""
         if len(self.runs) > 1:
-            self.runs = [self._write(self.read().groupBy("bucket").applyInArrow(_merge_rows, _RUN))]
+            self.runs = [self._write(self.read().groupBy("bucket").applyInArrow(trimmed(_merge_rows), _RUN))]
 
     def repeated(self, sent: DataFrame) -> DataFrame:
         """Rows (bucket, chunk, sent) merge-joined with the runs: the hashes that came more than once."""
-        return sent.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInArrow(_mark_rows, "chunk int, bucket int, sent binary")
+        return sent.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInArrow(trimmed(_mark_rows), "chunk int, bucket int, sent binary")
 
 
 def anchor_rows(group: pa.Table, n_buckets: int) -> pa.Table:
@@ -229,16 +229,16 @@ def remove_known(docs: DataFrame, index: FingerprintIndex, n_chunks: int, keep_t
     Windows are judged against ``docs``; the index, which must hold them all, says which need to be verified."""
     n_buckets = index.n_buckets
     packed = chunked(docs, n_chunks)
-    sent = packed.groupBy("chunk").applyInArrow(lambda g: anchor_rows(g, n_buckets), "bucket int, chunk int, sent binary")
+    sent = packed.groupBy("chunk").applyInArrow(trimmed(lambda g: anchor_rows(g, n_buckets)), "bucket int, chunk int, sent binary")
     repeated = index.repeated(sent)
     flags = (
         packed.groupBy("chunk").cogroup(repeated.groupBy("chunk"))
-        .applyInArrow(lambda g, a: run_rows(g, a, n_buckets), "bucket int, chunk int, blob binary")
-        .groupBy("bucket").applyInArrow(verify_rows, "chunk int, bucket int, sent binary")
+        .applyInArrow(trimmed(lambda g, a: run_rows(g, a, n_buckets)), "bucket int, chunk int, blob binary")
+        .groupBy("bucket").applyInArrow(trimmed(verify_rows), "chunk int, bucket int, sent binary")
     )
     answers = repeated.withColumn("kind", F.lit(0)).union(flags.withColumn("kind", F.lit(1)))
     out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda g, a: cut_rows(g, a, n_buckets, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+        trimmed(lambda g, a: cut_rows(g, a, n_buckets, keep_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
     )
     return out if keep_text else out.drop("text")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Chunk, chunk_count, chunked, others, pack, text_bytes, unpack
+from .common import Chunk, chunk_count, chunked, others, pack, text_bytes, trimmed, unpack
 from .exchange import RunTexts, chunk_number, covered, sent_rows, spread
 
 LENGTH = anchors.Bytes.length
@@ -278,19 +278,19 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, extra: bool = False)
     packed = chunked(docs, n_chunks, extra)
     answer = "chunk int, bucket int, sent binary"
     repeated = (
-        packed.groupBy("chunk").applyInArrow(lambda g: anchor_rows(g, n_buckets), "bucket int, chunk int, sent binary")
-        .groupBy("bucket").applyInArrow(repeated_rows, answer)
+        packed.groupBy("chunk").applyInArrow(trimmed(lambda g: anchor_rows(g, n_buckets)), "bucket int, chunk int, sent binary")
+        .groupBy("bucket").applyInArrow(trimmed(repeated_rows), answer)
     )
     flags = (
         packed.groupBy("chunk").cogroup(repeated.groupBy("chunk"))
-        .applyInArrow(lambda g, a: run_rows(g, a, n_buckets), "bucket int, chunk int, blob binary")
-        .groupBy("bucket").applyInArrow(flag_rows, answer)
+        .applyInArrow(trimmed(lambda g, a: run_rows(g, a, n_buckets)), "bucket int, chunk int, blob binary")
+        .groupBy("bucket").applyInArrow(trimmed(flag_rows), answer)
     )
     answers = repeated.withColumn("kind", F.lit(0)).union(flags.withColumn("kind", F.lit(1)))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary"
     if extra and others(docs):
         kind += f", extra {docs.select(F.struct(*(F.col(f'`{c}`') for c in others(docs))).alias('x')).schema['x'].dataType.simpleString()}"
-    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda g, a: cut_rows(g, a, n_buckets, keep_text), kind)
+    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(trimmed(lambda g, a: cut_rows(g, a, n_buckets, keep_text)), kind)
     return out if keep_text else out.drop("text")
 
 
