@@ -2,16 +2,20 @@
 
 A token is a word (a run of bytes that aren't ASCII white space, A-Z lower-cased) or the end of a text. Its probability
 is that of its class behind all earlier tokens of the text, times that of the token inside its class. Classes come
-from the token alone: the most frequent words of the fitting sample and the end have one each, other words share
+from the token alone: the most frequent words and the end have one each, other words share
 classes by their last two bytes and length. The network predicts classes: a gated recurrent unit over the classes
 seen, fitted in numpy by truncated backpropagation through time; texts are read in windows, and the state is carried
 from window to window, so a whole text of any length gets its complete log-likelihood. Inside a class, a token has the
 add-one estimate from the counts of all training documents, with one cell for tokens never seen.
 
 Counts cover all training documents: chunks of documents send the different tokens they have, with their training
-counts, to hash buckets, buckets add them up and answer each chunk. Nothing that grows with the vocabulary reaches the
-driver. The network is fitted on a bounded sample (``SAMPLE`` training documents chosen by a hash of the id,
-``SAMPLE_TOKENS`` tokens of each).
+counts, to hash buckets, buckets add them up and answer each chunk. The most frequent words come from these counts.
+Nothing that grows with the vocabulary reaches the driver.
+
+The network is fitted on all training documents, each in its whole length: in ``ROUNDS`` rounds, each over a part of the
+chunks (all of them again where there are fewer chunks than rounds), every chunk starts from the network so far and
+fits it to its documents; Spark sums what the chunks changed, weighted by their tokens, as integers, so the order of
+the sum doesn't matter, and the mean goes into the next round.
 
 A null text is empty and has only its end. Rows with equal ids count each. Without training documents all counts are
 0 and the network is as it was initialised.
@@ -19,6 +23,7 @@ A null text is empty and has only its end. Rows with equal ids count each. Witho
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 
@@ -29,12 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import by_bucket, rolling
-from .common import Chunk, chunk_count, chunked, cut, id_hash, pack, text_bytes, unpack
+from .common import Chunk, chunk_count, chunked, cut, id_hash, pack, text_bytes, trimmed, unpack
 from .exchange import chunk_number
 
-#: Documents, and tokens of each, that the network is fitted on.
-SAMPLE = 600
-SAMPLE_TOKENS = 400
 #: Classes of single words (the first is the end of a text) and classes that the other words share.
 SINGLE, SHARED = 40, 24
 CLASSES = SINGLE + SHARED
@@ -42,7 +44,12 @@ HIDDEN = 24
 #: Tokens between truncations in training, and in a window of scoring.
 TRUNCATE = 24
 WINDOW = 256
-EPOCHS = 3
+#: Rounds of fitting; texts that a chunk reads side by side, and windows that it makes of its tokens at least.
+ROUNDS = 4
+FIT_LANES = 256
+FIT_STEPS = 100
+#: Changes of weights are summed as multiples of 1 / UNIT.
+UNIT = 1 << 20
 #: Texts that are scored side by side.
 LANES = 1024
 
@@ -116,6 +123,16 @@ class Network:
         # The row CLASSES of the input table is for the start of a text.
         self.p = {"wx": draw(CLASSES + 1, 3 * HIDDEN), "wh": draw(HIDDEN, 3 * HIDDEN), "wo": draw(HIDDEN, CLASSES), "bo": np.zeros(CLASSES, np.float32)}
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float64)
+
+    def set(self, weights: np.ndarray) -> None:
+        begin = 0
+        for k in sorted(self.p):
+            w = self.p[k]
+            self.p[k] = weights[begin : begin + w.size].reshape(w.shape).astype(np.float32)
+            begin += w.size
+
     def step(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """The state behind inputs ``x`` (classes). The reset gate acts on the recurrent part of the candidate."""
         p, n = self.p, HIDDEN
@@ -133,58 +150,63 @@ class Network:
         out -= out.max(1, keepdims=True)
         return out - np.log(np.exp(out).sum(1, keepdims=True))
 
-    def fit(self, texts: list[list[int]], epochs: int = EPOCHS, rate: float = 0.01) -> None:
-        """Adam on truncated backpropagation: gradients stop where a window begins, the state does not."""
-        if not texts:
-            return
+    def fit(self, texts: list[np.ndarray], rate: float = 0.01, seed: int = 0) -> None:
+        """Adam on truncated backpropagation over whole texts: gradients stop where a window begins, the state doesn't."""
+        lanes = side_by_side(texts, seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        t = 0
-        counts = np.bincount([c for x in texts for c in x], minlength=CLASSES) + 1.0
-        self.p["bo"] = np.log(counts / counts.sum()).astype(np.float32)
-        for epoch in range(epochs):
-            order = np.random.default_rng(epoch).permutation(len(texts))
-            for a in range(0, len(order), 100):
-                group = [texts[i] for i in order[a : a + 100]]
-                longest = max(map(len, group))
-                y = np.full((longest, len(group)), -1, np.int64)
-                for j, x in enumerate(group):
-                    y[: len(x), j] = x
-                x = np.vstack([np.full(len(group), CLASSES), y[:-1]])
-                h = np.zeros((len(group), HIDDEN), np.float32)
-                for b in range(0, longest, TRUNCATE):
-                    g, h = self.gradients(x[b : b + TRUNCATE], y[b : b + TRUNCATE], h)
-                    t += 1
-                    for k, w in g.items():
-                        w = np.clip(w, -1, 1)
-                        m[k] += 0.1 * (w - m[k])
-                        v[k] += 0.001 * (w * w - v[k])
-                        self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        lengths = np.array([len(y) for y, _ in lanes])
+        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        for t, begin in enumerate(range(0, int(lengths.max(initial=0)), TRUNCATE), 1):
+            live = int(np.searchsorted(-lengths, -begin))  # lanes longer than begin
+            x = np.full((min(TRUNCATE, int(lengths[0]) - begin), live), CLASSES)
+            y = np.full(x.shape, -1)
+            for j, (target, before) in enumerate(lanes[:live]):
+                part = target[begin : begin + TRUNCATE]
+                y[: len(part), j], x[: len(part), j] = part, before[begin : begin + TRUNCATE]
+            g, h = self.gradients(x, y, h[:live])
+            for k, w in g.items():
+                w = np.clip(w, -1, 1)
+                m[k] += 0.1 * (w - m[k])
+                v[k] += 0.001 * (w * w - v[k])
+                self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean negative log-likelihood of a window; a target of -1 is none."""
-        p, n, steps = self.p, HIDDEN, []
-        for row in x:
-            h = self.step(np.maximum(row, 0), h, steps)
-        last, total = h, max(int((y >= 0).sum()), 1)
-        g = {k: np.zeros_like(w) for k, w in p.items()}
-        dh = np.zeros_like(h)
-        for (xs, before, z, r, c, uc, after), target in zip(reversed(steps), y[::-1]):
-            real = target >= 0
-            d = np.exp(self.log_probs(after))
-            d[np.arange(len(target)), np.maximum(target, 0)] -= 1
-            d *= (real / total)[:, None].astype(np.float32)
-            g["wo"] += after.T @ d
-            g["bo"] += d.sum(0)
-            dh = dh + d @ p["wo"].T
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - before) * z * (1 - z)
-            dr = dc * uc * r * (1 - r)
-            np.add.at(g["wx"], xs, np.concatenate([dz, dr, dc], 1))
-            du = np.concatenate([dz, dr, dc * r], 1)
-            g["wh"] += before.T @ du
-            dh = dh * (1 - z) + du @ p["wh"].T
-        return g, last
+        """Of the mean negative log-likelihood of a window; a target of -1 is none, and behind the input CLASSES the
+        state is that of a new text."""
+        p, n, (steps, lanes) = self.p, HIDDEN, x.shape
+        fresh = [np.flatnonzero(row == CLASSES) for row in x]
+        kept: list[tuple] = []
+        for row, new in zip(x, fresh):
+            if len(new):
+                h = h.copy()
+                h[new] = 0
+            h = self.step(row, h, kept)
+        _, before, z, r, c, uc, after = (np.stack(a) for a in zip(*kept))
+        real = (y >= 0).ravel()
+        flat = after.reshape(-1, n)
+        d = np.exp(self.log_probs(flat))
+        d[np.arange(y.size), np.maximum(y.ravel(), 0)] -= 1
+        d *= (real / max(int(real.sum()), 1))[:, None].astype(d.dtype)
+        g = {"wo": flat.T @ d, "bo": d.sum(0)}
+        out = (d @ p["wo"].T).reshape(steps, lanes, n)
+        gates = np.empty((steps, lanes, 3 * n), out.dtype)
+        # What is left once the gradient of the state is known, for all steps together.
+        by_c, by_z, by_r = z * (1 - c * c), (c - before) * z * (1 - z), uc * r * (1 - r)
+        back, dh = p["wh"].T, np.zeros_like(h)
+        recurrent = np.empty_like(gates)
+        for t in range(steps - 1, -1, -1):
+            dh = dh + out[t]
+            dc = dh * by_c[t]
+            gates[t, :, :n], gates[t, :, n : 2 * n], gates[t, :, 2 * n :] = dh * by_z[t], dc * by_r[t], dc
+            recurrent[t, :, : 2 * n], recurrent[t, :, 2 * n :] = gates[t, :, : 2 * n], dc * r[t]
+            dh = dh * (1 - z[t]) + recurrent[t] @ back
+            dh[fresh[t]] = 0
+        g["wh"] = before.reshape(-1, n).T @ recurrent.reshape(-1, 3 * n)
+        one = np.zeros((x.size, CLASSES + 1), gates.dtype)
+        one[np.arange(x.size), x.ravel()] = 1
+        g["wx"] = one.T @ gates.reshape(-1, 3 * n)
+        return g, h
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural-log probability of each text's classes. Texts run side by side, longest first; the state is
@@ -224,6 +246,24 @@ class Network:
         return out
 
 
+def side_by_side(texts: list[np.ndarray], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Targets and inputs of lanes of whole texts, one behind another; long lanes first."""
+    texts = [x for x in texts if len(x)]
+    n = min(FIT_LANES, max(1, sum(map(len, texts)) // (TRUNCATE * FIT_STEPS)), max(1, len(texts)))
+    lanes: list[list[int]] = [[] for _ in range(n)]
+    free = [(0, j) for j in range(n)]
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        size, j = heapq.heappop(free)
+        lanes[j].append(i)
+        heapq.heappush(free, (size + len(texts[i]), j))
+    rng = np.random.default_rng(seed)
+    out = []
+    for lane in filter(None, lanes):
+        order = [texts[lane[i]] for i in rng.permutation(len(lane))]
+        out.append((np.concatenate(order), np.concatenate([np.r_[CLASSES, x[:-1]] for x in order])))
+    return sorted(out, key=lambda lane: -len(lane[0]))
+
+
 def held_out():
     return F.coalesce(id_hash() % 7 == 2, F.lit(False))
 
@@ -233,22 +273,6 @@ class Model:
         self.classes, self.network = classes, network
 
 
-def train(docs: DataFrame) -> Model:
-    """Class list and network from a bounded sample of the training documents."""
-    rows = docs.where(~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = max(rows.select("doc_id").count(), 1)
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(math.ceil(min(1.0, 1.2 * SAMPLE / n) * (1 << 20)))
-    got = rows.where(chosen).select("doc_id", F.substring("text", 1, 16 * SAMPLE_TOKENS).alias("text")).limit(2 * SAMPLE).collect()
-    got.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))
-    sample = Tokens([r.text.encode() for r in got])
-    count = np.bincount(sample.numbers, minlength=len(sample.words))[1:]
-    ranked = sorted(zip((-count).tolist(), sample.words.to_pylist()[1:]))
-    classes = ClassMap([w for _, w in ranked[: SINGLE - 1]])
-    network = Network()
-    network.fit([x[:SAMPLE_TOKENS].tolist() for x in sample.of_texts(classes(sample.words)[sample.numbers])])
-    return Model(classes, network)
-
-
 # --- counts: chunks to buckets and back ---
 
 
@@ -277,7 +301,7 @@ def count_rows(group: pa.Table, n_buckets: int) -> pa.Table:
 
 def total_rows(group: pa.Table, classes: ClassMap) -> pa.Table:
     """Bucket -> for each chunk the counts of the tokens it sent, in order; and for chunk -1 - bucket the bucket's own
-    sums: tokens and different tokens, in all and by class."""
+    sums, tokens and different tokens by class, and its most frequent words."""
     tables = [unpack(blob) for blob in group.column("blob").to_pylist()]
     every = pa.concat_tables(tables)
     coded = every.column("word").combine_chunks().dictionary_encode()
@@ -289,23 +313,106 @@ def total_rows(group: pa.Table, classes: ClassMap) -> pa.Table:
     answers = [x.tobytes() for x in np.split(totals[number], sizes)]
     kinds = classes(coded.dictionary)
     sums = np.array([np.bincount(kinds, totals, CLASSES), np.bincount(kinds, totals > 0, CLASSES)]).astype(np.int64)
+    # The end may be among them, and words with the least of these counts all are.
+    least = max(np.sort(totals)[-min(SINGLE, len(totals))], 1)
+    top = np.flatnonzero(totals >= least)
+    words = sorted(zip((-totals[top]).tolist(), coded.dictionary.take(pa.array(top)).to_pylist()))[:SINGLE]
+    top = pack(pa.table({"word": pa.array([w for _, w in words], pa.string()), "n": pa.array([-n for n, _ in words], pa.int64())}))
     bucket = group.column("bucket")
     own = bucket[0].as_py()
     return pa.table({
         "chunk": pa.array([*group.column("chunk").to_pylist(), -1 - own], pa.int32()), "bucket": pa.array([*bucket.to_pylist(), own], pa.int32()),
-        "counts": pa.array([*answers, sums.tobytes()], pa.binary()),
+        "counts": pa.array([*answers, sums.tobytes()], pa.binary()), "top": pa.array([*[None] * len(answers), top], pa.binary()),
     })
 
 
-SCORED = "doc_id long, n_tokens long, n_known long, count_score double, class_score double, in_class binary, sums binary"
+class Corpus:
+    """Documents in chunks, and the counts of their tokens in training documents."""
+
+    def __init__(self, docs: DataFrame, classes: ClassMap | None = None):
+        n_buckets = self.n_chunks = chunk_count(text_bytes(docs))
+        known = classes or ClassMap([])
+        self.packed = cut(chunked(docs, self.n_chunks))
+        self.counts = cut(
+            self.packed.groupBy("chunk").applyInArrow(trimmed(lambda g: count_rows(g, n_buckets)), "bucket int, chunk int, blob binary")
+            .groupBy("bucket").applyInArrow(trimmed(lambda g: total_rows(g, known)), "chunk int, bucket int, counts binary, top binary")
+        )
+        own = self.counts.where("chunk < 0")
+        #: Tokens and different tokens of training documents by class.
+        self.sums = added(own.select("counts"), 2 * CLASSES).reshape(2, CLASSES)
+        self.classes = classes or self._most_frequent(own)
+
+    def _most_frequent(self, own: DataFrame) -> ClassMap:
+        """Classes of the most frequent words; ``sums`` move to them from the classes that all words share."""
+
+        def words(batches):
+            for batch in batches:
+                for blob in batch.column("top").to_pylist():
+                    yield from unpack(blob).to_batches()
 
+        got = own.select("top").mapInArrow(words, "word string, n long").where("word != '' and n > 0").orderBy(F.desc("n"), "word").limit(SINGLE - 1).collect()
+        shared = ClassMap([])(pa.array([r.word for r in got], pa.large_string()))
+        for i, (r, k) in enumerate(zip(got, shared.tolist()), 1):
+            self.sums[:, k] -= (r.n, 1)
+            self.sums[:, i] += (r.n, 1)
+        return ClassMap([r.word for r in got])
 
-def score_rows(group: pa.Table, answers: pa.Table, n_buckets: int, model: Model) -> pa.Table:
-    """Chunk -> its documents' sums; a group of bucket sums passes through as a row with ``sums``."""
-    if not group.num_rows:
-        n = answers.num_rows
-        cols = [pa.nulls(n, k) for k in (pa.int64(),) * 3 + (pa.float64(),) * 2 + (pa.binary(),)]
-        return pa.table([*cols, answers.column("counts").cast(pa.binary())], names=[c.split()[0] for c in SCORED.split(", ")])
+
+def added(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of arrays of 64-bit integers, one binary a row: by task, then by Spark."""
+
+    def add(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x, np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(at), "n": pa.array(total[at])})
+
+    out = np.zeros(size, np.int64)
+    for r in rows.mapInArrow(add, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out[r.place] = r.n
+    return out
+
+
+def fit_rows(group: pa.Table, model: Model, rate: float, seed: int) -> pa.Table:
+    """Chunk -> what fitting to its training documents changes, times their tokens, and the tokens."""
+    chunk = Chunk(group.column("blob").to_pylist())
+    tokens = Tokens([t for i, t in zip(chunk.ids, chunk.texts) if _training(i)])
+    before = model.network.weights()
+    network = Network()
+    network.set(before)
+    network.fit(tokens.of_texts(model.classes(tokens.words)[tokens.numbers]), rate, seed)
+    n = len(tokens.numbers)
+    moved = np.rint((network.weights() - before) * UNIT).astype(np.int64) * n
+    return pa.table({"moved": pa.array([np.r_[moved, n].tobytes()], pa.binary())})
+
+
+def fit(corpus: Corpus) -> Model:
+    """The network of all training documents of ``corpus``."""
+    model = Model(corpus.classes, Network())
+    model.network.p["bo"] = np.log((corpus.sums[0] + 1) / (corpus.sums[0] + 1).sum()).astype(np.float32)
+    spark = corpus.packed.sparkSession
+    parts = min(ROUNDS, corpus.n_chunks)
+    for k in range(ROUNDS):
+        weights, rate = model.network.weights(), 0.01 * (ROUNDS - k) / ROUNDS
+        held = spark.sparkContext.broadcast(model)
+        rows = corpus.packed.where(F.pmod("chunk", F.lit(parts)) == k % parts).groupBy("chunk").applyInArrow(
+            trimmed(lambda g, held=held, rate=rate, k=k: fit_rows(g, held.value, rate, k)), "moved binary"
+        )
+        moved = added(rows, len(weights) + 1)
+        model = Model(corpus.classes, Network())
+        model.network.set(weights + moved[:-1] / (UNIT * max(int(moved[-1]), 1)))
+    return model
+
+
+def train(docs: DataFrame) -> Model:
+    """Class list and network from all training documents."""
+    return fit(Corpus(docs))
+
+
+def score_rows(group: pa.Table, answers: pa.Table, n_buckets: int, model: Model, cells: np.ndarray) -> pa.Table:
+    """Chunk -> its documents' sums. ``cells`` are the denominators of the estimates inside classes, as logarithms."""
     chunk = Chunk(group.column("blob").to_pylist())
     told = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
     tokens = Tokens(chunk.texts)
@@ -313,53 +420,28 @@ def score_rows(group: pa.Table, answers: pa.Table, n_buckets: int, model: Model)
     for k, at in _routed(tokens, n_buckets):
         c[at] = np.frombuffer(told[k], np.int64)
     kinds = model.classes(tokens.words)
-    sequences = tokens.of_texts(kinds[tokens.numbers])
-    likely = model.network.score(sequences) / math.log(10)
+    likely = model.network.score(tokens.of_texts(kinds[tokens.numbers])) / math.log(10)
     begin = np.r_[0, tokens.ends[:-1]]
     sums = lambda x: np.add.reduceat(x[tokens.numbers], begin)
+    counted = sums(np.log10(c + 1.0))
     return pa.table({
-        "doc_id": pa.array(chunk.ids, pa.int64()), "n_tokens": np.diff(tokens.ends, prepend=0),
-        "n_known": sums((c > 0).astype(np.int64)), "count_score": sums(np.log10(c + 1.0)), "class_score": pa.array(likely, pa.float64()),
-        "in_class": pa.array([np.bincount(x, minlength=CLASSES).astype(np.int32).tobytes() for x in sequences], pa.binary()),
-        "sums": pa.nulls(len(sequences), pa.binary()),
+        "doc_id": pa.array(chunk.ids, pa.int64()), "n_tokens": np.diff(tokens.ends, prepend=0), "n_known": sums((c > 0).astype(np.int64)),
+        "count_score": counted, "score": likely + counted - sums(cells[kinds]),
     })
 
 
 def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    model = model or train(docs)
-    n_chunks = n_buckets = chunk_count(text_bytes(docs))
-    packed = chunked(docs, n_chunks)
+    corpus = Corpus(docs, model and model.classes)
+    model = model or fit(corpus)
+    n_buckets = corpus.n_chunks
+    n, v = int(corpus.sums[0].sum()), int(corpus.sums[1].sum())
+    cells = np.log10(corpus.sums[0] + corpus.sums[1] + 1.0)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    answers = (
-        packed.groupBy("chunk").applyInArrow(lambda g: count_rows(g, n_buckets), "bucket int, chunk int, blob binary")
-        .groupBy("bucket").applyInArrow(lambda g: total_rows(g, held.value.classes), "chunk int, bucket int, counts binary")
+    scored = corpus.packed.groupBy("chunk").cogroup(corpus.counts.where("chunk >= 0").groupBy("chunk")).applyInArrow(
+        trimmed(lambda g, a: score_rows(g, a, n_buckets, held.value, cells)), "doc_id long, n_tokens long, n_known long, count_score double, score double"
     )
-    rows = cut(packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda g, a: score_rows(g, a, n_buckets, held.value), SCORED))
-
-    def add(batches):
-        total = np.zeros((2, CLASSES), np.int64)
-        for batch in batches:
-            for x in batch.column("sums").to_pylist():
-                total += np.frombuffer(x, np.int64).reshape(2, CLASSES)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.repeat([0, 1], CLASSES)), "class": pa.array(np.tile(np.arange(CLASSES), 2)), "n": pa.array(total.ravel())})
-
-    sums = np.zeros((2, CLASSES), np.int64)
-    parts = rows.where(F.col("sums").isNotNull()).select("sums").mapInArrow(add, "kind long, class long, n long")
-    for r in parts.groupBy("kind", "class").agg(F.sum("n").alias("n")).collect():
-        sums[r.kind, r["class"]] = r.n
-    n, v = int(sums[0].sum()), int(sums[1].sum())
-    cells = np.log10(sums[0] + sums[1] + 1.0)
-
-    def inside(batches):
-        for batch in batches:
-            have = np.array([np.frombuffer(x, np.int32) for x in batch.column("in_class").to_pylist()]).reshape(-1, CLASSES)
-            names = ["doc_id", "n_tokens", "n_known", "count_score", "class_score"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(have @ cells, pa.float64())], names=[*names, "cells"])
-
-    scored = rows.where(F.col("sums").isNull()).drop("sums").mapInArrow(inside, "doc_id long, n_tokens long, n_known long, count_score double, class_score double, cells double")
     return scored.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("count_score") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        (F.col("class_score") + F.col("count_score") - F.col("cells")).alias("score"),
+        (F.col("count_score") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"), "score",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strataframe.llm import gru_lm, langid, ngram_rules, zstd_quality
@@ -81,6 +82,28 @@ def test_lm_beats_base(spark, real):
     assert got["score"].sum() > got["base_score"].sum()
 
 
+def test_lm_learns_from_whole_texts(spark):
+    """Classes come from the counts of all documents; what stands far behind in a text shapes the network."""
+    def docs(tail, n):
+        return spark.createDataFrame([(i, "x y " * 400 + tail * 1500) for i in range(n)], "doc_id long, text string")
+    one, two = (gru_lm.train(docs(tail, 30)) for tail in ("p q ", "p p q q "))
+    assert set(one.classes.frequent) == {"x", "y", "p", "q"}
+    assert any((one.network.p[k] != two.network.p[k]).any() for k in one.network.p)
+    p, q = one.classes(pa.array(["p", "q"], pa.large_string()))
+    turns, runs = np.tile([p, q], 500), np.repeat([p, q], 500)
+    assert one.network.score([turns])[0] > one.network.score([runs])[0]
+
+
+def test_lm_fits_every_document(docs, pairs, monkeypatch):
+    """Each round's chunks see all tokens of their training documents, once."""
+    monkeypatch.setattr(gru_lm, "chunk_count", lambda n: 6)
+    corpus = gru_lm.Corpus(docs)
+    seen = []
+    monkeypatch.setattr(gru_lm, "added", lambda rows, size, real=gru_lm.added: seen.append(out := real(rows, size)) or out)
+    gru_lm.fit(corpus)
+    assert sum(int(x[-1]) for x in seen) == int(corpus.sums[0].sum())
+
+
 def test_kneser_ney_sums_to_one(docs):
     model = ngram_rules.train(docs)
     codes = model.tables[ngram_rules.ORDER][0]
