@@ -5,10 +5,14 @@ also starts anywhere else, in the same document or another; windows are judged o
 
 The index holds fingerprints of windows: the hashes of their anchors (see ``anchors``), which equal windows share. A
 batch of documents becomes a run: for each hash bucket one row with the bucket's sorted hashes, and whether each came
-once or more. Runs are written once and never changed. A batch is merge-joined with all earlier runs, bucket by bucket;
-when there are ``FAN_IN`` runs they are merged into one. Since windows count from anywhere, a lookup comes after all
-batches are in: each chunk of documents merge-joins its hashes with the index, sends the words of the runs of windows
-whose hash came more than once, and the buckets verify which windows really are equal, word by word.
+once or more by then. For that a batch is merge-joined with all earlier runs, bucket by bucket. Runs are written once
+and never changed; when there are ``FAN_IN`` runs they are merged into one. Beside the runs the index keeps the packed
+texts of its batches, so that a hit can be verified against earlier documents.
+
+A lookup judges the documents of some batch and all later ones against everything the index holds: each of their chunks
+merge-joins its hashes with the index; for the hashes that came more than once these chunks, and those of earlier
+batches that have them too, send the words of the runs of windows, and the buckets verify which windows really are
+equal, word by word.
 
 Hash arrays are a fixed few bytes an anchor, and a group of copies sends one text a chunk, so no key's rows meet in
 one task. Null and empty texts have no words; rows with equal ids are documents like others.
@@ -58,10 +62,26 @@ def _merge_rows(group: pa.Table) -> pa.Table:
     })
 
 
-def _mark_rows(group: pa.Table, index: pa.Table) -> pa.Table:
-    """The hashes of each row that the index has more than once."""
+def _join_rows(group: pa.Table, earlier: pa.Table) -> pa.Table:
+    """A batch's hashes of a bucket; those that an earlier run has came more than once."""
+    if not group.num_rows:
+        return pa.table({"bucket": pa.array([], pa.int32()), "sent": pa.array([], pa.binary()), "times": pa.array([], pa.binary())})
+    row = _merge_rows(group)
+    value, times = anchors.from_bytes(row.column("sent")[0].as_py()), np.frombuffer(row.column("times")[0].as_py(), np.uint8).copy()
+    for raw in earlier.column("sent").to_pylist():
+        known = anchors.from_bytes(raw)
+        if len(known):
+            times[known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value] = 2
+    return row.set_column(2, "times", pa.array([times.tobytes()], pa.binary()))
+
+
+def _mark_rows(group: pa.Table, index: pa.Table, since: int) -> pa.Table:
+    """The hashes of each row that the index has more than once and a chunk from ``since`` on has."""
     known = [anchors.from_bytes(x)[np.frombuffer(t, np.uint8) > 1] for x, t in zip(index.column("sent").to_pylist(), index.column("times").to_pylist())]
     value = np.unique(np.concatenate(known or [np.zeros(0, np.uint64)]))
+    if since:
+        judged = [anchors.from_bytes(x) for k, x in zip(group.column("chunk").to_pylist(), group.column("sent").to_pylist()) if k >= since]
+        value = np.intersect1d(value, np.concatenate(judged or [np.zeros(0, np.uint64)]))
     rows = []
     for number, k, raw in zip(*(group.column(c).to_pylist() for c in ("chunk", "bucket", "sent"))):
         x = anchors.from_bytes(raw)
@@ -75,12 +95,15 @@ def _mark_rows(group: pa.Table, index: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """Immutable sorted runs below a folder that all executors share."""
+    """Immutable sorted runs, and the packed texts they come from, below a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, n_buckets: int, folder: str | None = None):
         self.spark, self.n_buckets = spark, n_buckets
         self.folder = folder or f"{checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        #: Folders of the batches' packed documents, and the number of each batch's first chunk; last, that of the next.
+        self.texts: list[str] = []
+        self.first = [0]
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
         """(bucket, sent, times) of the documents, sorted within each row; several rows a bucket. No shuffle."""
@@ -123,20 +146,38 @@ class FingerprintIndex:
             return self.spark.createDataFrame([], _RUN)
         return self.spark.read.schema(_RUN).parquet(*self.runs)
 
-    def append(self, docs: DataFrame) -> None:
-        """Add a batch as a run of its own; merge the runs when there are many."""
-        self.runs.append(self._write(self.fingerprints(docs).groupBy("bucket").applyInArrow(trimmed(_merge_rows), _RUN)))
+    def documents(self) -> DataFrame:
+        """Packed rows (chunk, blob) of the documents of all batches."""
+        return self.spark.read.schema("chunk int, blob binary").parquet(*self.texts)
+
+    def append(self, docs: DataFrame) -> int:
+        """Add a batch as a run of its own, merge-joined with the earlier ones; merge the runs when there are many.
+        Gives the batch's number."""
+        first, n_chunks = self.first[-1], chunk_count(text_bytes(docs))
+        path = f"{self.folder}/texts-{uuid.uuid4().hex}"
+        chunked(docs, n_chunks).select((F.col("chunk") + first).cast("int").alias("chunk"), "blob").write.parquet(path)
+        rows = self.fingerprints(docs).groupBy("bucket")
+        if self.runs:
+            self.runs.append(self._write(rows.cogroup(self.read().groupBy("bucket")).applyInArrow(trimmed(_join_rows), _RUN)))
+        else:
+            self.runs.append(self._write(rows.applyInArrow(trimmed(_merge_rows), _RUN)))
+        self.texts.append(path)
+        self.first.append(first + n_chunks)
         if len(self.runs) >= FAN_IN:
             self.compact()
+        return len(self.texts) - 1
 
     def compact(self) -> None:
         """Merge all runs into one. The old runs stay until the folder goes, so a reader that has them can go on."""
         if len(self.runs) > 1:
             self.runs = [self._write(self.read().groupBy("bucket").applyInArrow(trimmed(_merge_rows), _RUN))]
 
-    def repeated(self, sent: DataFrame) -> DataFrame:
-        """Rows (bucket, chunk, sent) merge-joined with the runs: the hashes that came more than once."""
-        return sent.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInArrow(trimmed(_mark_rows), "chunk int, bucket int, sent binary")
+    def repeated(self, sent: DataFrame, since: int = 0) -> DataFrame:
+        """Rows (bucket, chunk, sent) merge-joined with the runs: the hashes that came more than once, if a chunk from
+        ``since`` on has them."""
+        return sent.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInArrow(
+            trimmed(lambda g, i: _mark_rows(g, i, since)), "chunk int, bucket int, sent binary"
+        )
 
 
 def anchor_rows(group: pa.Table, n_buckets: int) -> pa.Table:
@@ -223,20 +264,21 @@ def cut_rows(group: pa.Table, answers: pa.Table, n_buckets: int, whole: bool) ->
     return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(cols.items(), kinds)})
 
 
-def remove_known(docs: DataFrame, index: FingerprintIndex, n_chunks: int, keep_text: bool = True) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, the kept words as ``text``.
-
-    Windows are judged against ``docs``; the index, which must hold them all, says which need to be verified."""
-    n_buckets = index.n_buckets
-    packed = chunked(docs, n_chunks)
+def remove_known(index: FingerprintIndex, batch: int = 0, keep_text: bool = True) -> DataFrame:
+    """Per document of a batch of ``index`` and of all later ones: doc_id, n_words, n_removed, kept_sha256 and, with
+    ``keep_text``, the kept words as ``text``. Windows are judged against all documents of the index."""
+    n_buckets, since = index.n_buckets, index.first[batch]
+    packed = index.documents()
     sent = packed.groupBy("chunk").applyInArrow(trimmed(lambda g: anchor_rows(g, n_buckets)), "bucket int, chunk int, sent binary")
-    repeated = index.repeated(sent)
+    repeated = index.repeated(sent, since)
     flags = (
         packed.groupBy("chunk").cogroup(repeated.groupBy("chunk"))
         .applyInArrow(trimmed(lambda g, a: run_rows(g, a, n_buckets)), "bucket int, chunk int, blob binary")
         .groupBy("bucket").applyInArrow(trimmed(verify_rows), "chunk int, bucket int, sent binary")
     )
     answers = repeated.withColumn("kind", F.lit(0)).union(flags.withColumn("kind", F.lit(1)))
+    if since:
+        packed, answers = (x.where(F.col("chunk") >= since) for x in (packed, answers))
     out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         trimmed(lambda g, a: cut_rows(g, a, n_buckets, keep_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
     )
@@ -245,9 +287,7 @@ def remove_known(docs: DataFrame, index: FingerprintIndex, n_chunks: int, keep_t
 
 def remove_repeats(docs: DataFrame, keep_text: bool = True, batches: int = BATCHES) -> DataFrame:
     """All documents, fed to an index in batches (by a hash of the id), then looked up in it."""
-    n_chunks = chunk_count(text_bytes(docs))
-    index = FingerprintIndex(docs.sparkSession, n_chunks)
+    index = FingerprintIndex(docs.sparkSession, chunk_count(text_bytes(docs)))
     for k in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)) == k))
-    index.compact()
-    return remove_known(docs, index, n_chunks, keep_text)
+    return remove_known(index, 0, keep_text)

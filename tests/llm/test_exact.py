@@ -67,6 +67,29 @@ def test_index_is_incremental(spark, docs, pairs):
     assert rows(whole) == rows(parts)
 
 
+def test_later_batch_is_judged_against_history(spark, docs, pairs, monkeypatch):
+    """Windows of a new batch that stand only in an earlier one go; those of earlier batches don't come back."""
+    monkeypatch.setattr(substring_index, "chunk_count", lambda _: 3)
+    cols = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    passage = " ".join(f"only{i}" for i in range(50))
+    late = [(5001, f"fresh start {passage} fresh end"), (5002, pairs[10][1]), (5003, "nothing " * 10)]
+    batches = [docs.select("doc_id", "text"), spark.createDataFrame([(5000, f"old words {passage}")], "doc_id long, text string")]
+    index = substring_index.FingerprintIndex(spark, 3)
+    for batch in [*batches, spark.createDataFrame([(5004, None)], "doc_id long, text string")]:
+        index.append(batch)
+    new = index.append(spark.createDataFrame(late, "doc_id long, text string"))  # the fourth: runs are merged
+    want = [r for r in brute.substring_index([*pairs, (5000, f"old words {passage}"), (5004, None), *late]) if r[0] is not None and 5001 <= r[0] <= 5003]
+    assert next(r for r in want if r[0] == 5001)[2] == 50
+    assert table(substring_index.remove_known(index, new), *cols) == by_repr(want)
+    # Runs that aren't merged say so too.
+    index = substring_index.FingerprintIndex(spark, 3)
+    index.append(batches[1])
+    new = index.append(spark.createDataFrame(late, "doc_id long, text string"))
+    assert len(index.runs) == 2
+    got = {r.doc_id: r.n_removed for r in substring_index.remove_known(index, new).collect()}
+    assert got[5001] == 50 and got.keys() == {5001, 5002, 5003}
+
+
 def test_runs_find_every_repeat():
     """Equal windows lie in runs with equal anchors and equal offsets to them."""
     r = random.Random(3)
