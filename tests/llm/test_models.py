@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,15 @@ def test_rules_keep_good_text(spark, sf_dir, real):
     assert got[got.quality == 1].kept.mean() > 0.97
 
 
+def test_rules_reject_bad_text(spark, sf_dir):
+    """Most labelled-bad text that passes the base rules is rejected; good text stays. On a table with enough of both."""
+    path = Path(sf_dir).parent / "sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{name}.parquet") for name in ("documents", "labels"))
+    got = ngram_rules.judge(docs).join(labels, "doc_id").where("not base_failed").toPandas()
+    assert got[got.quality == 0].kept.mean() < 0.3
+    assert got[got.quality == 1].kept.mean() > 0.98
+
+
 def test_language_id(real):
     got = langid.identify(real).join(real.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.95
