@@ -5,8 +5,8 @@ code columns that split few languages are used (an exhaustive code); many langua
 each bit's loss, weighted by how well the bit was learned, and takes the nearest codeword; a small lead over the
 second is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample (``SAMPLE`` documents, in equal parts by language, chosen by a hash of
-the id, ``SAMPLE_BYTES`` of each text); every whole text is then predicted. ``und``, with score 0, is given to null
+The classifiers are fitted on a bounded sample (``SAMPLE`` documents, in equal parts by language, but about
+``LEAST_EACH`` a language at least, chosen by a hash of the id, ``SAMPLE_BYTES`` of each text); every whole text is then predicted. ``und``, with score 0, is given to null
 texts and texts without a letter. Without any labelled row every text is ``und``. Equal rows give equal results.
 """
 
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, id_hash, slices, small_batches
 
-#: Documents, and bytes of each, in the sample that the classifiers are fitted on; most languages.
+#: Documents, and bytes of each, in the sample that the classifiers are fitted on; least documents a language, so that no
+#: language that has rows is left out: with many languages the sample grows.
 SAMPLE = 2_400
 SAMPLE_BYTES = 20_000
-MAX_LANGUAGES = 200
+LEAST_EACH = 12
 #: Hash cells for bigrams, and again for trigrams.
 CELLS = 1 << 11
 EXHAUSTIVE = 6
@@ -67,7 +68,7 @@ def codewords(n: int) -> np.ndarray:
     rng = np.random.default_rng(n)
     length = 10 * int(np.ceil(np.log2(n)))
     best, far = None, -1
-    for _ in range(200):
+    for _ in range(max(1, 200 * 200**2 // max(n, 200) ** 2)):  # a try takes time with the square of n
         code = rng.choice(np.array([-1, 1], np.int8), (n, length))
         apart = (length - code.astype(int) @ code.T.astype(int)) // 2 + length * np.eye(n, dtype=int)
         if (abs(code.sum(0)) < n).all() and apart.min() > far:
@@ -98,8 +99,8 @@ class Model:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         bits = features(texts) @ self.w + self.b
-        margin = bits[:, None, :] * self.code[None].astype(np.float32)
-        loss = (np.logaddexp(0, -margin) * self.weight).sum(2) / max(self.weight.sum(), 1e-9)
+        one, other = (np.logaddexp(0, x) * self.weight for x in (-bits, bits))
+        loss = (one @ (self.code > 0).T.astype(np.float32) + other @ (self.code < 0).T.astype(np.float32)) / max(self.weight.sum(), 1e-9)
         near = np.sort(loss, 1)
         lead = near[:, 1] - near[:, 0] if loss.shape[1] > 1 else np.full(len(loss), 9.0)
         p = np.exp(-8 * (loss - near[:, :1]))
@@ -116,14 +117,14 @@ class Model:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (doc_id, text, lang); null languages teach nothing."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return Model(np.zeros((0, 2 * CELLS), np.float32), [])
-    each = max(1, sample // len(counts))
+    each = max(LEAST_EACH, sample // len(counts))
     # Ids alone decide who is in: about `each` rows a language; the limit holds even if ids repeat.
     share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.3 * each / n))))
     chosen = (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))
-    small = rows.where(chosen).select("lang", F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("text")).limit(2 * sample)
+    small = rows.where(chosen).select("lang", F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("text")).limit(2 * max(sample, each * len(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

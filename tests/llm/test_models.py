@@ -146,6 +146,17 @@ def test_language_id_edges(docs, empty, pairs):
     assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark):
+    """However many there are, and the rarest too."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(210)]
+    rows = [(1000 * k + i, " ".join([w * 3] * 20), f"l{i}") for i, w in enumerate(words) for k in range(1 + (i < 200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert set(model.langs) == {f"l{i}" for i in range(210)}
+    got = langid.predict(docs, model).join(docs, "doc_id").where("int(substring(lang, 2, 9)) >= 200").toPandas()
+    assert len(got) == 10 and (got.lang_pred == got.lang).mean() >= 0.8
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 12, 40])
 def test_codewords_differ(n):
     code = langid.codewords(n)
