@@ -3,8 +3,8 @@
 Templates are short notices. Every template word has an inverse document frequency over the templates; the rare ones
 (the highest-IDF words) are indexed as word -> postings (label, template, position). A file's own rare licence words
 are looked up, postings vote for the place where the template would begin (position in the file less position in the
-template), votes within a tolerance of each other count together, and a label is given only if one of its mandatory
-key phrases stands in the file close to that place. Base phrases give their labels wherever their words stand
+template), votes within a tolerance of each other count together, and a label is given only if words with ``LEAST_SHARE`` of the
+template's rare-word IDF agree on a place and one of its mandatory key phrases stands in the file close to it. Base phrases give their labels wherever their words stand
 consecutively.
 
 A null text is empty: no words, no labels, score 0. Words are runs of ASCII letters and digits and of non-ASCII code
@@ -53,6 +53,8 @@ TEMPLATES = [
 MAX_TEMPLATES = 4
 #: How far apart votes may be, in words, and how far from the template a key phrase may stand.
 TOLERANCE = 3
+#: Share of a template's rare-word IDF that has to agree on a place: more than a key phrase alone has in most templates.
+LEAST_SHARE = 0.75
 
 
 @lru_cache(1)
@@ -105,7 +107,8 @@ def method_labels(words: list[bytes], joined: bytes) -> dict[str, float]:
                 continue
             lo, hi = np.searchsorted(starts, [a, a + TOLERANCE + 1])
             share = sum(idf[w] for w in {w for _, w in got[lo:hi]}) / total[k]
-            found[label] = max(found.get(label, 0.0), min(1.0, share))
+            if share >= LEAST_SHARE:
+                found[label] = max(found.get(label, 0.0), min(1.0, share))
     return found
 
 

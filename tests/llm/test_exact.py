@@ -145,6 +145,15 @@ def test_licence_templates(label, text, keys):
     assert licences.method_labels(b"license version software".split(), b" license version software ") == {}
 
 
+@pytest.mark.parametrize("text", [
+    "these works are in the public domain by now", "see the file named cc0 for more", "they chose the mit license after a vote",
+    "the Creative Commons Attribution-NonCommercial License", "a BSD license, a Mozilla Public License or a lesser general public license",
+])
+def test_mentions_of_licences_are_no_notices(text):
+    words = brute.alnum(text)
+    assert licences.method_labels([w.encode() for w in words], f" {' '.join(words)} ".encode()) == {}
+
+
 def test_rules(docs, pairs):
     got = ngram_rules.judge(docs)
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
