@@ -1,29 +1,31 @@
-"""Language-model scoring with a gated recurrent network and a class-factored output.
+"""Language-model scoring with a gated recurrent network and a class-factored output softmax.
 
 A token is a word (a run of bytes that aren't ASCII white space, A-Z lower-cased) or the end of a text. Its probability
-is that of its class behind all earlier tokens of the text, times that of the token inside its class. Classes come
-from the token alone: the most frequent words and the end have one each, other words share
-classes by their last two bytes and length. The network predicts classes: a gated recurrent unit over the classes
-seen, fitted in numpy by truncated backpropagation through time; texts are read in windows, and the state is carried
-from window to window, so a whole text of any length gets its complete log-likelihood. Inside a class, a token has the
-add-one estimate from the counts of all training documents, with one cell for tokens never seen.
-
-Counts cover all training documents: chunks of documents send the different tokens they have, with their training
-counts, to hash buckets, buckets add them up and answer each chunk. The most frequent words come from these counts.
-Nothing that grows with the vocabulary reaches the driver.
+is that of its class behind all earlier tokens of the text, times that of the token inside its class. The end is a class
+of its own; the ``WORDS`` most frequent words fill ``FREQUENT`` classes in order of their counts; all other words share
+``SHARED`` classes by their last two bytes and length. The network, a gated recurrent unit fitted in numpy by truncated
+backpropagation through time, reads words (the shared classes for rare ones) and gives from its state both a softmax
+over classes and, inside a class of frequent words, a softmax over its words. Inside a shared class, whose words are
+without bound, a word has the add-one estimate from the counts of all training documents, with one cell for those never
+seen. Texts are read in windows and the state is carried from window to window, so a whole text of any length gets its
+complete log-likelihood.
+
+Documents are tokenised once, in chunks. Counts cover all training documents: chunks send the different tokens they
+have, with their training counts, to hash buckets, buckets add them up and answer each chunk. The most frequent words
+come from these counts. Nothing that grows with the vocabulary reaches the driver.
 
 The network is fitted on all training documents, each in its whole length: in ``ROUNDS`` rounds, each over a part of the
 chunks (all of them again where there are fewer chunks than rounds), every chunk starts from the network so far and
 fits it to its documents; Spark sums what the chunks changed, weighted by their tokens, as integers, so the order of
 the sum doesn't matter, and the mean goes into the next round.
 
-A null text is empty and has only its end. Rows with equal ids count each. Without training documents all counts are
-0 and the network is as it was initialised.
+A null or empty text has only its end. Rows with equal ids count each; equal rows score equally. A null id trains. Only
+doc_id and text are read, so other columns, whatever their names, change nothing. Without training documents all counts
+are 0 and the network is as it was initialised; without documents there are no rows.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import zlib
 
@@ -34,24 +36,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import by_bucket, rolling
-from .common import Chunk, chunk_count, chunked, cut, id_hash, pack, text_bytes, trimmed, unpack
+from .common import Chunk, cell, chunk_count, chunked, cut, id_hash, pack, text_bytes, trimmed, uncell, unpack
 from .exchange import chunk_number
 
-#: Classes of single words (the first is the end of a text) and classes that the other words share.
-SINGLE, SHARED = 40, 24
-CLASSES = SINGLE + SHARED
-HIDDEN = 24
+#: Classes of frequent words, words in each of them, and classes that the other words share.
+FREQUENT, EACH, SHARED = 40, 24, 39
+WORDS = FREQUENT * EACH
+#: The end has class 0, then frequent and shared classes.
+CLASSES = 1 + FREQUENT + SHARED
+#: Symbols that the network reads: 0 the end, 1 to WORDS frequent words, then shared classes, last the start of a text.
+START = 1 + WORDS + SHARED
+HIDDEN = 16
 #: Tokens between truncations in training, and in a window of scoring.
 TRUNCATE = 24
-WINDOW = 256
+WINDOW = 128
 #: Rounds of fitting; texts that a chunk reads side by side, and windows that it makes of its tokens at least.
 ROUNDS = 4
-FIT_LANES = 256
+FIT_LANES = 384
 FIT_STEPS = 100
-#: Changes of weights are summed as multiples of 1 / UNIT.
+#: Changes of weights are summed as multiples of 1 / UNIT, weighted by tokens in thousands.
 UNIT = 1 << 20
 #: Texts that are scored side by side.
 LANES = 1024
+#: Weights that are summed as one row, and tasks whose rows are summed together first.
+BLOCK = 8192
+FAN_IN = 64
 
 
 class Tokens:
@@ -79,6 +88,18 @@ class Tokens:
         return np.split(values, self.ends[:-1]) if len(self.ends) else []
 
 
+class TokenChunk(Tokens):
+    """A chunk of documents, already tokenised: ``ids`` beside the tokens."""
+
+    def __init__(self, group: pa.Table):
+        docs, numbers, words = (group.column(c).to_pylist() for c in ("docs", "numbers", "words"))
+        parts = [unpack(x) for x in docs]
+        self.ids = [i for t in parts for i in t.column("doc_id").to_pylist()]
+        self.ends = np.concatenate([t.column("end").to_numpy() for t in parts] or [np.zeros(0, np.int64)])
+        self.numbers = np.concatenate([np.frombuffer(uncell(x)[0], np.uint32).astype(np.int64) for x in numbers] or [np.zeros(0, np.int64)])
+        self.words = strings(*uncell(words[0])) if words else pa.array([""], pa.large_string())
+
+
 def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of a string array, and where each string begins and ends."""
     words = pa.concat_arrays([words]) if words.offset else words
@@ -87,16 +108,27 @@ def _buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8), offsets[:-1], offsets[1:]
 
 
+def plain(words: pa.Array) -> tuple[bytes, bytes]:
+    """Lengths (32 bits) and bytes of a large string array, one behind another."""
+    raw, begin, end = _buffers(words)
+    return (end - begin).astype(np.uint32).tobytes(), raw[begin[0] : end[-1]].tobytes() if len(begin) else b""
+
+
+def strings(lengths: bytes, raw: bytes) -> pa.Array:
+    n = np.frombuffer(lengths, np.uint32).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.r_[0, np.cumsum(n)].astype(np.int64)), pa.py_buffer(raw))
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     raw, begin, end = _buffers(words)
     return rolling(raw.astype(np.uint64) + np.uint64(1), begin, end)
 
 
 class ClassMap:
-    """Tokens to classes: 0 for the end, one for each frequent word, shared ones by last two bytes and length."""
+    """Words to symbols: 0 for the end, one for each frequent word, shared ones by last two bytes and length."""
 
     def __init__(self, frequent: list[str]):
-        self.frequent = frequent[: SINGLE - 1]
+        self.frequent = frequent[:WORDS]
 
     def __call__(self, words: pa.Array) -> np.ndarray:
         raw, begin, end = _buffers(words)
@@ -105,23 +137,46 @@ class ClassMap:
         one = np.where(size > 0, padded[end + 1], 0)
         two = np.where(size > 1, padded[end], 0)
         shape = (one | two << 8 | np.minimum(size, 12) << 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out = SINGLE + ((shape >> np.uint64(40)) % np.uint64(SHARED)).astype(np.int64)
+        out = 1 + WORDS + ((shape >> np.uint64(40)) % np.uint64(SHARED)).astype(np.int64)
         place = pc.index_in(words, value_set=pa.array(["", *self.frequent], pa.large_string())).fill_null(-1).to_numpy(zero_copy_only=False)
         return np.where(place >= 0, place, out)
 
 
+def class_of(symbol: np.ndarray) -> np.ndarray:
+    """The class of each symbol."""
+    return np.where(symbol <= WORDS, (symbol + EACH - 1) // EACH, symbol - WORDS + FREQUENT)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place. States are between -1 and 1, so only huge weights could make an output too large for ``exp``."""
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
+def _by_class(symbols: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each class of frequent words that the symbols have: its number from 0, their places, their words in it."""
+    at = np.flatnonzero((symbols >= 1) & (symbols <= WORDS))
+    kind, word = np.divmod(symbols[at] - 1, EACH)
+    return [(k, at[own], word[own]) for k, own in by_bucket(kind, FREQUENT)] if len(at) else []
+
+
 class Network:
-    """A gated recurrent unit over classes. Weights: input tables (classes x 3 hidden), recurrent, output."""
+    """A gated recurrent unit over symbols. Weights: input table (symbols x 3 hidden), recurrent, classes, words inside
+    the classes of frequent words."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        # The row CLASSES of the input table is for the start of a text.
-        self.p = {"wx": draw(CLASSES + 1, 3 * HIDDEN), "wh": draw(HIDDEN, 3 * HIDDEN), "wo": draw(HIDDEN, CLASSES), "bo": np.zeros(CLASSES, np.float32)}
+        self.p = {
+            "wx": draw(START + 1, 3 * HIDDEN), "wh": draw(HIDDEN, 3 * HIDDEN), "wo": draw(HIDDEN, CLASSES), "bo": np.zeros(CLASSES, np.float32),
+            "wi": draw(FREQUENT, HIDDEN, EACH), "bi": np.zeros((FREQUENT, EACH), np.float32),
+        }
 
     def weights(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float64)
@@ -133,63 +188,83 @@ class Network:
             self.p[k] = weights[begin : begin + w.size].reshape(w.shape).astype(np.float32)
             begin += w.size
 
-    def step(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The state behind inputs ``x`` (classes). The reset gate acts on the recurrent part of the candidate."""
-        p, n = self.p, HIDDEN
-        a, u = p["wx"][x], h @ p["wh"]
+    def begin_at(self, counts: np.ndarray) -> None:
+        """Biases from the counts of symbols, so that the network begins as a table of frequencies. Places without a
+        word have no weight."""
+        total = np.bincount(class_of(np.arange(START)), counts, CLASSES)
+        self.p["bo"] = np.log((total + 1) / (total + 1).sum()).astype(np.float32)
+        inside = counts[1 : WORDS + 1].reshape(FREQUENT, EACH)
+        self.p["bi"] = np.where(inside > 0, np.log(np.maximum(inside, 1) / np.maximum(inside.sum(1, keepdims=True), 1)), -30.0).astype(np.float32)
+
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state behind inputs ``x``. The reset gate acts on the recurrent part of the candidate."""
+        return self._step(x, h)[-1]
+
+    def _step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = HIDDEN
+        a, u = self.p["wx"][x], h @ self.p["wh"]
         zr = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
         z, r = zr[:, :n], zr[:, n:]
         c = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
-        new = h + z * (c - h)
-        if keep is not None:
-            keep.append((x, h, z, r, c, u[:, 2 * n :], new))
-        return new
+        return h, z, r, c, u[:, 2 * n :], h + z * (c - h)
+
+    def class_probs(self, h: np.ndarray) -> np.ndarray:
+        return _softmax(h @ self.p["wo"] + self.p["bo"])
 
-    def log_probs(self, h: np.ndarray) -> np.ndarray:
-        out = h @ self.p["wo"] + self.p["bo"]
-        out -= out.max(1, keepdims=True)
-        return out - np.log(np.exp(out).sum(1, keepdims=True))
+    def word_probs(self, h: np.ndarray, kind: int) -> np.ndarray:
+        """Of the words of a class of frequent words, behind each state."""
+        return _softmax(h @ self.p["wi"][kind] + self.p["bi"][kind])
 
     def fit(self, texts: list[np.ndarray], rate: float = 0.01, seed: int = 0) -> None:
         """Adam on truncated backpropagation over whole texts: gradients stop where a window begins, the state doesn't."""
-        lanes = side_by_side(texts, seed)
+        targets, inputs = side_by_side(texts, seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        lengths = np.array([len(y) for y, _ in lanes])
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        for t, begin in enumerate(range(0, int(lengths.max(initial=0)), TRUNCATE), 1):
-            live = int(np.searchsorted(-lengths, -begin))  # lanes longer than begin
-            x = np.full((min(TRUNCATE, int(lengths[0]) - begin), live), CLASSES)
-            y = np.full(x.shape, -1)
-            for j, (target, before) in enumerate(lanes[:live]):
-                part = target[begin : begin + TRUNCATE]
-                y[: len(part), j], x[: len(part), j] = part, before[begin : begin + TRUNCATE]
-            g, h = self.gradients(x, y, h[:live])
+        h = np.zeros((targets.shape[1], HIDDEN), np.float32)
+        for t, begin in enumerate(range(0, len(targets), TRUNCATE), 1):
+            g, h = self.gradients(inputs[begin : begin + TRUNCATE], targets[begin : begin + TRUNCATE], h)
             for k, w in g.items():
-                w = np.clip(w, -1, 1)
-                m[k] += 0.1 * (w - m[k])
-                v[k] += 0.001 * (w * w - v[k])
-                self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+                np.clip(w, -1, 1, out=w)
+                m[k] += np.float32(0.1) * (w - m[k])
+                w *= w
+                v[k] += np.float32(0.001) * (w - v[k])
+                np.multiply(v[k], np.float32(1 / (1 - 0.999**t)), out=w)
+                np.sqrt(w, out=w)
+                w += np.float32(1e-8)
+                np.divide(m[k], w, out=w)
+                w *= np.float32(rate / (1 - 0.9**t))
+                self.p[k] -= w
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Of the mean negative log-likelihood of a window; a target of -1 is none, and behind the input CLASSES the
-        state is that of a new text."""
+        """Of the mean negative log-likelihood of a window's classes and frequent words; a target of -1 is none, and
+        behind the input START the state is that of a new text."""
         p, n, (steps, lanes) = self.p, HIDDEN, x.shape
-        fresh = [np.flatnonzero(row == CLASSES) for row in x]
-        kept: list[tuple] = []
-        for row, new in zip(x, fresh):
+        fresh = [np.flatnonzero(row == START) for row in x]
+        kept = np.empty((6, steps, lanes, n), p["wh"].dtype)
+        for t, (row, new) in enumerate(zip(x, fresh)):
             if len(new):
                 h = h.copy()
                 h[new] = 0
-            h = self.step(row, h, kept)
-        _, before, z, r, c, uc, after = (np.stack(a) for a in zip(*kept))
-        real = (y >= 0).ravel()
-        flat = after.reshape(-1, n)
-        d = np.exp(self.log_probs(flat))
-        d[np.arange(y.size), np.maximum(y.ravel(), 0)] -= 1
-        d *= (real / max(int(real.sum()), 1))[:, None].astype(d.dtype)
-        g = {"wo": flat.T @ d, "bo": d.sum(0)}
-        out = (d @ p["wo"].T).reshape(steps, lanes, n)
+            for place, made in zip(kept, out := self._step(row, h)):
+                place[t] = made
+            h = out[-1]
+        before, z, r, c, uc, after = kept
+        flat, target = after.reshape(-1, n), y.ravel()
+        real = target >= 0
+        share = 1 / max(int(real.sum()), 1)
+        d = self.class_probs(flat)
+        d[np.arange(y.size), class_of(np.maximum(target, 0))] -= 1
+        d *= (real * share)[:, None].astype(d.dtype)
+        g = {"wo": flat.T @ d, "bo": d.sum(0), "wi": np.zeros_like(p["wi"]), "bi": np.zeros_like(p["bi"])}
+        out = d @ p["wo"].T
+        for k, at, word in _by_class(target):
+            own = flat[at]
+            q = self.word_probs(own, k)
+            q[np.arange(len(at)), word] -= 1
+            q *= q.dtype.type(share)
+            g["wi"][k], g["bi"][k] = own.T @ q, q.sum(0)
+            out[at] += q @ p["wi"][k].T
+        out = out.reshape(steps, lanes, n)
         gates = np.empty((steps, lanes, 3 * n), out.dtype)
         # What is left once the gradient of the state is known, for all steps together.
         by_c, by_z, by_r = z * (1 - c * c), (c - before) * z * (1 - z), uc * r * (1 - r)
@@ -203,14 +278,13 @@ class Network:
             dh = dh * (1 - z[t]) + recurrent[t] @ back
             dh[fresh[t]] = 0
         g["wh"] = before.reshape(-1, n).T @ recurrent.reshape(-1, 3 * n)
-        one = np.zeros((x.size, CLASSES + 1), gates.dtype)
-        one[np.arange(x.size), x.ravel()] = 1
-        g["wx"] = one.T @ gates.reshape(-1, 3 * n)
+        places = (x.reshape(-1, 1) * (3 * n) + np.arange(3 * n)).ravel()
+        g["wx"] = np.bincount(places, gates.ravel(), p["wx"].size).reshape(p["wx"].shape).astype(p["wx"].dtype)
         return g, h
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural-log probability of each text's classes. Texts run side by side, longest first; the state is
-        carried from window to window."""
+        """Natural-log probability of each text's classes and frequent words. Texts run side by side, longest first;
+        the state is carried from window to window."""
         out = np.zeros(len(texts))
         lengths_ = np.array([len(x) for x in texts])
         by_length = np.argsort(-lengths_, kind="stable")
@@ -222,46 +296,49 @@ class Network:
             which = by_length[a : a + LANES]
             lengths = lengths_[which]
             n = len(which)
-            h, before = np.zeros((n, HIDDEN), np.float32), np.full(n, CLASSES)
+            h, before = np.zeros((n, HIDDEN), np.float32), np.full(n, START)
             total, u = np.zeros(n), np.zeros((n, n3), np.float32)
             for begin in range(0, int(lengths.max(initial=0)), WINDOW):
                 live = int(np.searchsorted(-lengths, -begin))  # texts longer than begin
-                y = np.zeros((min(WINDOW, int(lengths[0]) - begin), live), np.int64)
+                y = np.full((min(WINDOW, int(lengths[0]) - begin), live), -1)
                 for j in range(live):
                     part = texts[which[j]][begin : begin + WINDOW]
                     y[: len(part), j] = part
+                kinds = class_of(np.maximum(y, 0))
+                states = np.zeros((*y.shape, HIDDEN), np.float32)
                 going = np.searchsorted(-lengths[:live], -(begin + np.arange(len(y)))).tolist()
-                for target, n in zip(y, going):
+                for t, n in enumerate(going):
                     gates = wx[before[:n]]
                     gates[:, : 2 * HIDDEN] += u[:n, : 2 * HIDDEN]
                     zr = _sigmoid(gates[:, : 2 * HIDDEN])
                     c = np.tanh(gates[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * u[:n, 2 * HIDDEN :])
                     h = h[:n]
                     h = h + zr[:, :HIDDEN] * (c - h)
+                    states[t, :n] = h
                     made = h @ both
                     u, logits = made[:, :n3], made[:, n3:] + bo
-                    before = target[:n]
-                    total[:n] += logits[np.arange(n), before] - np.log(np.exp(logits).sum(1))
+                    before = y[t, :n]
+                    total[:n] += logits[np.arange(n), kinds[t, :n]] - np.log(np.exp(logits).sum(1))
+                flat = states.reshape(-1, HIDDEN)
+                for k, at, word in _by_class(y.ravel()):
+                    q = flat[at] @ self.p["wi"][k] + self.p["bi"][k]
+                    total[:live] += np.bincount(at % live, q[np.arange(len(at)), word] - np.log(np.exp(q).sum(1)), live)
             out[which] = total
         return out
 
 
-def side_by_side(texts: list[np.ndarray], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Targets and inputs of lanes of whole texts, one behind another; long lanes first."""
-    texts = [x for x in texts if len(x)]
-    n = min(FIT_LANES, max(1, sum(map(len, texts)) // (TRUNCATE * FIT_STEPS)), max(1, len(texts)))
-    lanes: list[list[int]] = [[] for _ in range(n)]
-    free = [(0, j) for j in range(n)]
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        size, j = heapq.heappop(free)
-        lanes[j].append(i)
-        heapq.heappush(free, (size + len(texts[i]), j))
+def side_by_side(texts: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Targets and inputs, steps x lanes: all texts in random order one behind another, cut into lanes of equal length
+    (a target of -1 fills the last). A text that a cut parts goes on in the next lane, from a state of zeros."""
     rng = np.random.default_rng(seed)
-    out = []
-    for lane in filter(None, lanes):
-        order = [texts[lane[i]] for i in rng.permutation(len(lane))]
-        out.append((np.concatenate(order), np.concatenate([np.r_[CLASSES, x[:-1]] for x in order])))
-    return sorted(out, key=lambda lane: -len(lane[0]))
+    order = [texts[i] for i in rng.permutation(len(texts)) if len(texts[i])]
+    if not order:
+        return np.zeros((0, 1), np.int64), np.zeros((0, 1), np.int64)
+    target = np.concatenate(order)
+    before = np.concatenate([np.r_[START, x[:-1]] for x in order])
+    lanes = min(FIT_LANES, max(1, len(target) // (TRUNCATE * FIT_STEPS)))
+    fill = -len(target) % lanes
+    return np.r_[target, np.full(fill, -1)].reshape(lanes, -1).T, np.r_[before, np.full(fill, START)].reshape(lanes, -1).T
 
 
 def held_out():
@@ -280,6 +357,17 @@ def _training(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2
 
 
+def token_rows(group: pa.Table) -> pa.Table:
+    """Chunk -> (chunk, docs, numbers, words): its tokens."""
+    chunk = Chunk(group.column("blob").to_pylist())
+    tokens = Tokens(chunk.texts)
+    docs = pack(pa.table({"doc_id": pa.array(chunk.ids, pa.int64()), "end": tokens.ends}))
+    return pa.table({
+        "chunk": pa.array([chunk_number(group)], pa.int32()), "docs": pa.array([docs], pa.binary()),
+        "numbers": pa.array([cell(tokens.numbers.astype(np.uint32).tobytes())], pa.large_binary()), "words": pa.array([cell(*plain(tokens.words))], pa.large_binary()),
+    }).cast(pa.schema([("chunk", pa.int32()), *((c, pa.binary()) for c in ("docs", "numbers", "words"))]))
+
+
 def _routed(tokens: Tokens, n_buckets: int) -> list[tuple[int, np.ndarray]]:
     """The buckets that the different tokens go to, with their numbers."""
     bucket = (word_hashes(tokens.words) % np.uint64(n_buckets)).astype(np.int64)
@@ -288,35 +376,31 @@ def _routed(tokens: Tokens, n_buckets: int) -> list[tuple[int, np.ndarray]]:
 
 def count_rows(group: pa.Table, n_buckets: int) -> pa.Table:
     """Chunk -> (bucket, chunk, blob): its different tokens and their counts in training documents."""
-    chunk = Chunk(group.column("blob").to_pylist())
-    tokens = Tokens(chunk.texts)
-    weight = np.repeat([_training(i) for i in chunk.ids], np.diff(tokens.ends, prepend=0))
-    counts = np.bincount(tokens.numbers, weight, len(tokens.words)).astype(np.int64)
-    rows = [(k, pack(pa.table({"word": tokens.words.take(pa.array(at)), "n": counts[at]}))) for k, at in _routed(tokens, n_buckets)]
+    tokens = TokenChunk(group)
+    weight = np.repeat([_training(i) for i in tokens.ids], np.diff(tokens.ends, prepend=0))
+    counts = np.bincount(tokens.numbers, weight, len(tokens.words)).astype(np.uint32)
+    rows = [(k, cell(counts[at].tobytes(), *plain(tokens.words.take(pa.array(at))))) for k, at in _routed(tokens, n_buckets)]
     return pa.table({
         "bucket": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([chunk_number(group)] * len(rows), pa.int32()),
         "blob": pa.array([b for _, b in rows], pa.binary()),
     })
 
 
-def total_rows(group: pa.Table, classes: ClassMap) -> pa.Table:
+def total_rows(group: pa.Table) -> pa.Table:
     """Bucket -> for each chunk the counts of the tokens it sent, in order; and for chunk -1 - bucket the bucket's own
-    sums, tokens and different tokens by class, and its most frequent words."""
-    tables = [unpack(blob) for blob in group.column("blob").to_pylist()]
-    every = pa.concat_tables(tables)
-    coded = every.column("word").combine_chunks().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
+    sums, tokens and different tokens by shared class, and its most frequent words."""
+    parts = [uncell(blob) for blob in group.column("blob").to_pylist()]
+    counts = [np.frombuffer(c, np.uint32) for c, _, _ in parts]
+    coded = pa.concat_arrays([strings(n, raw) for _, n, raw in parts]).dictionary_encode()
     number = coded.indices.to_numpy(zero_copy_only=False)
-    totals = np.bincount(number, every.column("n").to_numpy(), len(coded.dictionary)).astype(np.int64)
-    sizes = np.cumsum([t.num_rows for t in tables])[:-1]
-    answers = [x.tobytes() for x in np.split(totals[number], sizes)]
-    kinds = classes(coded.dictionary)
-    sums = np.array([np.bincount(kinds, totals, CLASSES), np.bincount(kinds, totals > 0, CLASSES)]).astype(np.int64)
+    totals = np.bincount(number, np.concatenate(counts), len(coded.dictionary)).astype(np.int64)
+    answers = [x.tobytes() for x in np.split(totals[number], np.cumsum([len(c) for c in counts])[:-1])]
+    kinds = np.maximum(ClassMap([])(coded.dictionary) - WORDS, 0)
+    sums = np.array([np.bincount(kinds, totals, SHARED + 1), np.bincount(kinds, totals > 0, SHARED + 1)]).astype(np.int64)
     # The end may be among them, and words with the least of these counts all are.
-    least = max(np.sort(totals)[-min(SINGLE, len(totals))], 1)
+    least = max(np.sort(totals)[-min(WORDS + 1, len(totals))], 1)
     top = np.flatnonzero(totals >= least)
-    words = sorted(zip((-totals[top]).tolist(), coded.dictionary.take(pa.array(top)).to_pylist()))[:SINGLE]
+    words = sorted(zip((-totals[top]).tolist(), coded.dictionary.take(pa.array(top)).to_pylist()))[: WORDS + 1]
     top = pack(pa.table({"word": pa.array([w for _, w in words], pa.string()), "n": pa.array([-n for n, _ in words], pa.int64())}))
     bucket = group.column("bucket")
     own = bucket[0].as_py()
@@ -327,82 +411,101 @@ def total_rows(group: pa.Table, classes: ClassMap) -> pa.Table:
 
 
 class Corpus:
-    """Documents in chunks, and the counts of their tokens in training documents."""
+    """Documents in chunks of tokens, and the counts of these in training documents."""
 
     def __init__(self, docs: DataFrame, classes: ClassMap | None = None):
         n_buckets = self.n_chunks = chunk_count(text_bytes(docs))
-        known = classes or ClassMap([])
-        self.packed = cut(chunked(docs, self.n_chunks))
-        self.counts = cut(
-            self.packed.groupBy("chunk").applyInArrow(trimmed(lambda g: count_rows(g, n_buckets)), "bucket int, chunk int, blob binary")
-            .groupBy("bucket").applyInArrow(trimmed(lambda g: total_rows(g, known)), "chunk int, bucket int, counts binary, top binary")
+        self.tokens = cut(chunked(docs, self.n_chunks).groupBy("chunk").applyInArrow(trimmed(token_rows), "chunk int, docs binary, numbers binary, words binary"))
+        self.answers = cut(
+            self.tokens.groupBy("chunk").applyInArrow(trimmed(lambda g: count_rows(g, n_buckets)), "bucket int, chunk int, blob binary")
+            .groupBy("bucket").applyInArrow(trimmed(total_rows), "chunk int, bucket int, counts binary, top binary")
         )
-        own = self.counts.where("chunk < 0")
-        #: Tokens and different tokens of training documents by class.
-        self.sums = added(own.select("counts"), 2 * CLASSES).reshape(2, CLASSES)
-        self.classes = classes or self._most_frequent(own)
-
-    def _most_frequent(self, own: DataFrame) -> ClassMap:
-        """Classes of the most frequent words; ``sums`` move to them from the classes that all words share."""
+        own = self.answers.where("chunk < 0")
+        #: Tokens, and different tokens, of training documents: of the end and of the shared classes.
+        self.sums = added(own.select("counts"), 2 * (SHARED + 1)).reshape(2, SHARED + 1)
+        self.n_tokens, self.n_words = (int(x) for x in self.sums.sum(1))
+        known = self._frequent(own)
+        self.classes = classes or ClassMap([w for w, _ in known])
+        counts = dict(known)
+        #: Tokens of training documents by symbol.
+        self.counts = np.zeros(START, np.int64)
+        self.counts[1 : 1 + len(self.classes.frequent)] = [counts.get(w, 0) for w in self.classes.frequent]
+        # Frequent words leave the classes that all words share.
+        shared = ClassMap([])(pa.array(self.classes.frequent, pa.large_string())) - WORDS
+        np.subtract.at(self.sums[0], shared, self.counts[1 : 1 + len(shared)])
+        np.subtract.at(self.sums[1], shared, self.counts[1 : 1 + len(shared)] > 0)
+        self.counts[0], self.counts[1 + WORDS :] = self.sums[0, 0], self.sums[0, 1:]
+
+    def _frequent(self, own: DataFrame) -> list[tuple[str, int]]:
+        """The most frequent words of training documents with their counts."""
 
         def words(batches):
             for batch in batches:
                 for blob in batch.column("top").to_pylist():
                     yield from unpack(blob).to_batches()
 
-        got = own.select("top").mapInArrow(words, "word string, n long").where("word != '' and n > 0").orderBy(F.desc("n"), "word").limit(SINGLE - 1).collect()
-        shared = ClassMap([])(pa.array([r.word for r in got], pa.large_string()))
-        for i, (r, k) in enumerate(zip(got, shared.tolist()), 1):
-            self.sums[:, k] -= (r.n, 1)
-            self.sums[:, i] += (r.n, 1)
-        return ClassMap([r.word for r in got])
+        rows = own.select("top").mapInArrow(words, "word string, n long").where("word != '' and n > 0").orderBy(F.desc("n"), "word").limit(WORDS).collect()
+        return [(r.word, r.n) for r in rows]
 
 
 def added(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of arrays of 64-bit integers, one binary a row: by task, then by Spark."""
+    """The sum of arrays of 64-bit integers, one binary a row: by task, then by groups of ``FAN_IN`` tasks, then all.
+    Arrays are dealt in blocks, so no task holds all of many."""
 
     def add(batches):
         total = np.zeros(size, np.int64)
+        some = False
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 total += np.frombuffer(x, np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"place": pa.array(at), "n": pa.array(total[at])})
-
+                some = True
+        if some:
+            parts = [total[a : a + BLOCK].tobytes() for a in range(0, size, BLOCK)]
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "n": pa.array(parts, pa.binary())})
+
+    def together(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group.column("n").to_pylist())
+        return pa.table({"block": group.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "block int, n binary"
+    by_task = rows.mapInArrow(add, kind).withColumn("part", F.floor(F.spark_partition_id() / FAN_IN))
+    few = by_task.groupBy("block", "part").applyInArrow(lambda g: together(g.select(["block", "n"])), kind)
     out = np.zeros(size, np.int64)
-    for r in rows.mapInArrow(add, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        out[r.place] = r.n
+    for r in few.groupBy("block").applyInArrow(together, kind).collect():
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.n, np.int64)
     return out
 
 
 def fit_rows(group: pa.Table, model: Model, rate: float, seed: int) -> pa.Table:
-    """Chunk -> what fitting to its training documents changes, times their tokens, and the tokens."""
-    chunk = Chunk(group.column("blob").to_pylist())
-    tokens = Tokens([t for i, t in zip(chunk.ids, chunk.texts) if _training(i)])
+    """Chunk -> what fitting to its training documents changes, times its weight; the weight and the training tokens."""
+    tokens = TokenChunk(group)
+    symbols = tokens.of_texts(model.classes(tokens.words)[tokens.numbers])
+    mine = [x for i, x in zip(tokens.ids, symbols) if _training(i)]
     before = model.network.weights()
     network = Network()
     network.set(before)
-    network.fit(tokens.of_texts(model.classes(tokens.words)[tokens.numbers]), rate, seed)
-    n = len(tokens.numbers)
-    moved = np.rint((network.weights() - before) * UNIT).astype(np.int64) * n
-    return pa.table({"moved": pa.array([np.r_[moved, n].tobytes()], pa.binary())})
+    network.fit(mine, rate, seed)
+    n = sum(map(len, mine))
+    weight = -(-n // 1024)
+    moved = np.rint((network.weights() - before) * UNIT).astype(np.int64) * weight
+    return pa.table({"moved": pa.array([np.r_[moved, weight, n].tobytes()], pa.binary())})
 
 
 def fit(corpus: Corpus) -> Model:
     """The network of all training documents of ``corpus``."""
     model = Model(corpus.classes, Network())
-    model.network.p["bo"] = np.log((corpus.sums[0] + 1) / (corpus.sums[0] + 1).sum()).astype(np.float32)
-    spark = corpus.packed.sparkSession
+    model.network.begin_at(corpus.counts)
+    spark = corpus.tokens.sparkSession
     parts = min(ROUNDS, corpus.n_chunks)
     for k in range(ROUNDS):
         weights, rate = model.network.weights(), 0.01 * (ROUNDS - k) / ROUNDS
         held = spark.sparkContext.broadcast(model)
-        rows = corpus.packed.where(F.pmod("chunk", F.lit(parts)) == k % parts).groupBy("chunk").applyInArrow(
+        rows = corpus.tokens.where(F.pmod("chunk", F.lit(parts)) == k % parts).groupBy("chunk").applyInArrow(
             trimmed(lambda g, held=held, rate=rate, k=k: fit_rows(g, held.value, rate, k)), "moved binary"
         )
-        moved = added(rows, len(weights) + 1)
+        moved = added(rows, len(weights) + 2)
         model = Model(corpus.classes, Network())
-        model.network.set(weights + moved[:-1] / (UNIT * max(int(moved[-1]), 1)))
+        model.network.set(weights + moved[:-2] / (UNIT * max(int(moved[-2]), 1)))
     return model
 
 
@@ -412,21 +515,21 @@ def train(docs: DataFrame) -> Model:
 
 
 def score_rows(group: pa.Table, answers: pa.Table, n_buckets: int, model: Model, cells: np.ndarray) -> pa.Table:
-    """Chunk -> its documents' sums. ``cells`` are the denominators of the estimates inside classes, as logarithms."""
-    chunk = Chunk(group.column("blob").to_pylist())
+    """Chunk -> its documents' sums. ``cells`` are, by symbol, the denominators of the estimates inside shared classes as
+    logarithms; not a number for the end and frequent words, which need none."""
+    tokens = TokenChunk(group)
     told = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
-    tokens = Tokens(chunk.texts)
     c = np.zeros(len(tokens.words), np.int64)
     for k, at in _routed(tokens, n_buckets):
         c[at] = np.frombuffer(told[k], np.int64)
-    kinds = model.classes(tokens.words)
-    likely = model.network.score(tokens.of_texts(kinds[tokens.numbers])) / math.log(10)
+    symbols = model.classes(tokens.words)
+    likely = model.network.score(tokens.of_texts(symbols[tokens.numbers])) / math.log(10)
     begin = np.r_[0, tokens.ends[:-1]]
     sums = lambda x: np.add.reduceat(x[tokens.numbers], begin)
-    counted = sums(np.log10(c + 1.0))
+    counted = np.log10(c + 1.0)
     return pa.table({
-        "doc_id": pa.array(chunk.ids, pa.int64()), "n_tokens": np.diff(tokens.ends, prepend=0), "n_known": sums((c > 0).astype(np.int64)),
-        "count_score": counted, "score": likely + counted - sums(cells[kinds]),
+        "doc_id": pa.array(tokens.ids, pa.int64()), "n_tokens": np.diff(tokens.ends, prepend=0), "n_known": sums((c > 0).astype(np.int64)),
+        "count_score": sums(counted), "score": likely + sums(np.where(symbols > WORDS, counted - cells[symbols], 0.0)),
     })
 
 
@@ -435,10 +538,11 @@ def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
     corpus = Corpus(docs, model and model.classes)
     model = model or fit(corpus)
     n_buckets = corpus.n_chunks
-    n, v = int(corpus.sums[0].sum()), int(corpus.sums[1].sum())
-    cells = np.log10(corpus.sums[0] + corpus.sums[1] + 1.0)
+    n, v = corpus.n_tokens, corpus.n_words
+    cells = np.full(START, np.nan)
+    cells[1 + WORDS :] = np.log10(corpus.sums[0, 1:] + corpus.sums[1, 1:] + 1.0)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    scored = corpus.packed.groupBy("chunk").cogroup(corpus.counts.where("chunk >= 0").groupBy("chunk")).applyInArrow(
+    scored = corpus.tokens.groupBy("chunk").cogroup(corpus.answers.where("chunk >= 0").groupBy("chunk")).applyInArrow(
         trimmed(lambda g, a: score_rows(g, a, n_buckets, held.value, cells)), "doc_id long, n_tokens long, n_known long, count_score double, score double"
     )
     return scored.select(

@@ -119,6 +119,49 @@ def lm_base(docs):
     return {i: (i is not None and crc(i) % 7 == 2, len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)) for i, w in tokens}
 
 
+def symbol_log_p(net, h, symbol: int) -> float:
+    """Natural log of a symbol's probability behind a state: its class, and for a frequent word its place in it."""
+    from strataframe.llm import gru_lm as lm
+
+    def log_softmax(x, i):
+        return float(x[i]) - math.log(sum(math.exp(float(v)) for v in x))
+
+    frequent = 1 <= symbol <= lm.WORDS
+    kind = (symbol - 1) // lm.EACH if frequent else None
+    out = log_softmax(h @ net.p["wo"] + net.p["bo"], 0 if symbol == 0 else 1 + kind if frequent else 1 + lm.FREQUENT + symbol - lm.WORDS - 1)
+    if frequent:
+        out += log_softmax(h @ net.p["wi"][kind] + net.p["bi"][kind], (symbol - 1) % lm.EACH)
+    return out
+
+
+def lm_score(docs, model) -> dict[int | None, list[float]]:
+    """log10 scores by id: rare words by the add-one estimate inside their class."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strataframe.llm import gru_lm as lm
+
+    tokens = [(i, [*words((t or "").translate(UPPER)), ""]) for i, t in docs]
+    counts = Counter(x for i, w in tokens if i is None or crc(i) % 7 != 2 for x in w)
+    every = sorted({x for _, w in tokens for x in w})
+    symbol = dict(zip(every, model.classes(pa.array(every, pa.large_string())).tolist()))
+    total, different = Counter(), Counter()
+    for x, n in counts.items():
+        total[symbol[x]] += n
+        different[symbol[x]] += 1
+    out: dict[int | None, list[float]] = {}
+    for i, w in tokens:
+        h, before, score = np.zeros((1, lm.HIDDEN), np.float32), lm.START, 0.0
+        for x in w:
+            h, s = model.network.step(np.array([before]), h), symbol[x]
+            score += symbol_log_p(model.network, h[0], s) / math.log(10)
+            if s > lm.WORDS:
+                score += math.log10((counts[x] + 1) / (total[s] + different[s] + 1))
+            before = s
+        out.setdefault(i, []).append(score)
+    return out
+
+
 def near_classes(docs, size: int = 5):
     bags = {i: Counter(tuple(w[p : p + size]) for p in range(len(w) - size + 1)) for i, w in ((i, words(t)) for i, t in docs)}
     texts = {i: tuple(words(t)) for i, t in docs}

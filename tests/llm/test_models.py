@@ -36,23 +36,30 @@ def test_lm_many_chunks(docs, pairs, monkeypatch):
 def test_lm_gradients():
     net = gru_lm.Network(3)
     r = np.random.default_rng(0)
-    x, y = r.integers(0, gru_lm.CLASSES, (6, 4)), r.integers(0, gru_lm.CLASSES, (6, 4))
-    y[5, 0] = -1
+    x, y = r.integers(0, gru_lm.START, (6, 4)), r.integers(0, gru_lm.START, (6, 4))
+    y[5, 0], y[:5, 1], x[3, 2] = -1, 1 + r.integers(0, gru_lm.WORDS, 5), gru_lm.START
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     h = r.standard_normal((4, gru_lm.HIDDEN)) * 0.1
 
     def loss():
         state, total = h, 0.0
         for a, b in zip(x, y):
-            state = net.step(a, state)
-            p = net.log_probs(state)
-            total -= sum(p[j, t] for j, t in enumerate(b) if t >= 0)
+            state = net.step(a, np.where((a == gru_lm.START)[:, None], 0, state))
+            for j, t in enumerate(b):
+                if t >= 0:
+                    total -= brute.symbol_log_p(net, state[j], int(t))
         return total / (y >= 0).sum()
 
     g, _ = net.gradients(x, y, h)
+    word = int(y[0, 1] - 1) // gru_lm.EACH
     for k, w in net.p.items():
         for _ in range(5):
-            at = tuple(r.integers(0, n) for n in w.shape)
+            at = [int(r.integers(0, n)) for n in w.shape]
+            if k in ("wi", "bi"):
+                at[0] = word
+            elif k == "wx":
+                at[0] = int(x.ravel()[r.integers(0, x.size)])
+            at = tuple(at)
             old, eps = w[at], 1e-5
             w[at] = old + eps
             up = loss()
@@ -62,22 +69,41 @@ def test_lm_gradients():
             assert math.isclose((up - down) / (2 * eps), g[k][at], rel_tol=1e-3, abs_tol=1e-7)
 
 
+def test_lm_softmaxes_sum_to_one():
+    """Over classes, and over the words inside each class of frequent words; the two give one distribution."""
+    net = gru_lm.Network(5)
+    h = np.random.default_rng(2).standard_normal((9, gru_lm.HIDDEN)).astype(np.float32)
+    assert np.allclose(net.class_probs(h).sum(1), 1, atol=1e-5)
+    for k in range(gru_lm.FREQUENT):
+        assert np.allclose(net.word_probs(h, k).sum(1), 1, atol=1e-5)
+    whole = sum(math.exp(brute.symbol_log_p(net, h[0], s)) for s in range(gru_lm.START))
+    assert math.isclose(whole, 1, rel_tol=1e-4)
+
+
 def test_lm_carries_state():
     """Windows and lanes don't change a text's score."""
     net = gru_lm.Network(1)
     r = np.random.default_rng(1)
-    texts = [r.integers(0, gru_lm.CLASSES, n) for n in (1, 700, 30, 513, 256)]
+    texts = [r.integers(0, gru_lm.START, n) for n in (1, 700, 30, 513, 256)]
     whole = net.score(texts)
     for t, s in zip(texts, whole):
         assert math.isclose(net.score([t])[0], s, rel_tol=1e-5)
-        h, before, total = np.zeros((1, gru_lm.HIDDEN), np.float32), np.array([gru_lm.CLASSES]), 0.0
-        for c in t:
+        h, before, total = np.zeros((1, gru_lm.HIDDEN), np.float32), np.array([gru_lm.START]), 0.0
+        for c in t.tolist():
             h = net.step(before, h)
-            total += float(net.log_probs(h)[0, c])
+            total += brute.symbol_log_p(net, h[0], c)
             before = np.array([c])
         assert math.isclose(total, s, rel_tol=1e-4)
 
 
+def test_lm_score(docs, pairs):
+    """The whole score token by token, from the network's weights and plain counts."""
+    model = gru_lm.train(docs)
+    want = brute.lm_score(pairs, model)
+    for r in gru_lm.score(docs, model).collect():
+        assert any(math.isclose(r.score, x, rel_tol=1e-3, abs_tol=1e-3) for x in want[r.doc_id])
+
+
 def test_lm_beats_base(spark, real):
     got = gru_lm.score(real).where("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum()
@@ -91,6 +117,7 @@ def test_lm_learns_from_whole_texts(spark):
     assert set(one.classes.frequent) == {"x", "y", "p", "q"}
     assert any((one.network.p[k] != two.network.p[k]).any() for k in one.network.p)
     p, q = one.classes(pa.array(["p", "q"], pa.large_string()))
+    assert max(p, q) <= gru_lm.WORDS  # words of their own in the softmax
     turns, runs = np.tile([p, q], 500), np.repeat([p, q], 500)
     assert one.network.score([turns])[0] > one.network.score([runs])[0]
 
@@ -102,7 +129,7 @@ def test_lm_fits_every_document(docs, pairs, monkeypatch):
     seen = []
     monkeypatch.setattr(gru_lm, "added", lambda rows, size, real=gru_lm.added: seen.append(out := real(rows, size)) or out)
     gru_lm.fit(corpus)
-    assert sum(int(x[-1]) for x in seen) == int(corpus.sums[0].sum())
+    assert sum(int(x[-1]) for x in seen) == corpus.n_tokens
 
 
 def test_kneser_ney_sums_to_one(docs):
