@@ -155,6 +155,13 @@ def runs(scheme: Bytes | Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def part_hashes(scheme: Bytes | Words, texts: list[bytes], text: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashes of the tokens of ``count`` consecutive windows, from window ``first`` of text number ``text`` on."""
+    tokens, begin, _ = scheme.tokens(texts)
+    start = begin[text] + first
+    return rolling(tokens.astype(np.uint64) + np.uint64(1), start, start + count + scheme.length - 1) if len(text) else np.zeros(0, np.uint64)
+
+
 #: Bytes of an anchor hash that are sent; its bucket tells the rest.
 SENT = 5
 _SENT = np.uint64((1 << (8 * SENT)) - 1)

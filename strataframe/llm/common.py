@@ -12,7 +12,7 @@ import ctypes
 import inspect
 import math
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a worker handles at a time inside a batch.
 SLICE_BYTES = 1 << 20
@@ -115,15 +116,31 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = SLICE_BYT
             yield batch.slice(a, b - a)
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The frame, with columns that have one of the names (upper or lower case) renamed to ``original_<name>``."""
+    taken = {n.lower() for n in names}
+    new, used = [], {c.lower() for c in df.columns} | taken
+    for c in df.columns:
+        name = c
+        if c.lower() in taken:
+            while name.lower() in used:
+                name = f"original_{name}"
+            used.add(name.lower())
+        new.append(name)
+    return df if new == df.columns else df.toDF(*new)
+
+
 def map_texts(
     df: DataFrame, score: Callable[[list[bytes]], dict[str, object]], schema: str, text: str = "text"
 ) -> DataFrame:
     """Add the columns that ``score`` gives for a list of texts; all columns of ``df`` but the text are kept.
 
     ``score`` is built on the worker by calling it with the texts of a slice only, so memory is bounded by a slice
-    and not by the partition. No shuffle.
+    and not by the partition. A column that has the name of a new one is kept as ``original_<name>``. No shuffle.
     """
-    kept = [c for c in small_batches(df).columns if c != text]
+    added = StructType.fromDDL(schema)
+    df = set_aside(small_batches(df), added.names)
+    kept = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,8 +152,7 @@ def map_texts(
                 )
         release()
 
-    keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text)
-    return df.mapInArrow(run, f"{keep}, {schema}" if keep else schema)
+    return df.mapInArrow(run, StructType([f for f in df.schema.fields if f.name != text] + added.fields))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -200,6 +216,16 @@ def others(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("doc_id", "text")]
 
 
+def others_struct(docs: DataFrame) -> Column:
+    """The other columns as a struct of c0, c1 ..., so that their names, whatever they are, don't matter."""
+    return F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others(docs))))
+
+
+def quoted(name: str) -> str:
+    """A column's name, literally."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def chunked(docs: DataFrame, n_chunks: int, extra: bool = False) -> DataFrame:
     """Documents as packed rows (chunk, blob): ids and texts of the documents of a chunk, by a hash of the id, and with
     ``extra`` their other columns as one struct.
@@ -211,7 +237,7 @@ def chunked(docs: DataFrame, n_chunks: int, extra: bool = False) -> DataFrame:
         F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
-        *([F.struct(*(F.col(f"`{c}`") for c in others(docs))).alias("extra")] if extra and others(docs) else []),
+        *([others_struct(docs).alias("extra")] if extra and others(docs) else []),
     )
     columns = keyed.columns[1:]
 

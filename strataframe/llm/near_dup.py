@@ -6,8 +6,9 @@ of links, named by their smallest id.
 
 Signatures. The weight axis is cut into dyadic intervals [0,1), [1,2), [2,4), ... Each shingle has one Poisson process
 for each interval below its count, over time, registers and unit weights; a point counts if its weight is below the
-count. A register's value is the time of its first point, so two texts agree in a register with the probability of
-their weighted Jaccard similarity. Points come in order of time and stop where they can't lower any register.
+count. A register's value names its first point (shingle, interval and place in the process, no floating-point number,
+so different machines agree), so two texts agree in a register with the probability of their weighted Jaccard
+similarity. Points come in order of time and stop where they can't lower any register.
 
 Candidates. Texts with equal words are one text, the smallest id standing for it. ``BANDS`` bands of ``ROWS`` registers
 give keys. Texts with a common key are compared with the smallest id that has it, never all with all. A text that this
@@ -15,34 +16,40 @@ leaves outside the class of a key's smallest id, while the key has others left,
 chunk of documents that has texts with one of its keys, and is looked up there in an inverted index. So nothing that
 shares a key is missed, a group of copies costs one comparison a text, and only links that join something are passed on.
 
-Verification is exact on the multisets: a pivot's text travels once to each chunk that has texts to compare with it.
+Verification is exact on the multisets of the shingles' 64-bit hashes: a pivot's text travels once to each chunk that has
+texts to compare with it, by way of relays, so that no task sends a pivot of a huge class to all chunks.
 
 Texts without words belong to nobody else's class; texts of fewer words than a shingle only equal themselves. A null
-text is empty. Rows with equal ids share a class; a null id has a null class.
+text is empty. Rows with equal ids share a class, whatever their texts; a null id has a null class. Repeated rows each
+give a row. Texts may be of any length; they are sketched in slices, one text at least. Other columns, whatever their
+names, are ignored (``classes``) or kept (``keep_one``). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Chunk, byte_texts, chunk_count, chunked, cut, pack, release, slices, small_batches, text_bytes, trimmed, unpack
+from .common import Chunk, byte_texts, chunk_count, chunked, cut, pack, quoted, release, slices, small_batches, text_bytes, trimmed, unpack
 from .components import components
-from .exchange import chunk_number
+from .exchange import chunk_number, spread
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Bytes of text that are sketched at a time.
 SKETCH_BYTES = 256 << 10
-#: Texts that are searched for together in one chunk.
+#: Texts that are searched for together in one chunk, and postings (one for each shared shingle of each of them) that are
+#: counted at a time; a single shingle has no more than ``SEARCH_BLOCK``.
 SEARCH_BLOCK = 20_000
+POSTINGS = 1 << 20
 
 _WORDS = anchors.Words()
 
@@ -73,8 +80,9 @@ def _random(state: np.ndarray) -> np.ndarray:
 
 
 def signatures(n: int, text: np.ndarray, h: np.ndarray, weight: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """First times, texts x registers (infinite for texts without shingles), of weighted multisets."""
+    """The name of each register's first point, texts x registers (0 for texts without shingles), of weighted multisets."""
     out = np.full((n, registers), np.inf)
+    first = np.zeros(n * registers, np.uint64)
     # One row a shingle and dyadic interval: [0,1) is interval 0, [2**(k-1), 2**k) is interval k.
     top = np.zeros(len(weight), np.int64)
     more = weight > 1
@@ -100,15 +108,18 @@ def signatures(n: int, text: np.ndarray, h: np.ndarray, weight: np.ndarray, regi
         register = (r % np.uint64(registers)).astype(np.int64)
         level = low + (((r >> np.uint64(24)) % wide.astype(np.uint64)).astype(np.int64))
         counts = level < limit
-        np.minimum.at(flat, (doc * registers + register)[counts], time[counts])
+        place, at, name = (doc * registers + register)[counts], time[counts], state[counts]
+        np.minimum.at(flat, place, at)
+        won = flat[place] == at
+        first[place[won]] = name[won]
         some = np.unique(doc) if len(doc) < 4 * n else np.arange(n)
         bound[some] = out[some].max(1)
-    return out
+    return first.reshape(n, registers)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
-    bits = signature.view(np.uint64).reshape(len(signature), BANDS, ROWS)
+    bits = signature.reshape(len(signature), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bits.shape[:2]).copy()
     for j in range(ROWS):
         key = _random((key ^ bits[:, :, j]) + np.uint64(0x9E3779B97F4A7C15))
@@ -164,37 +175,68 @@ def linked(common: int, union: int) -> bool:
     return union > 0 and 5 * common >= 4 * union
 
 
-def _send(group: pa.Table, asked: pa.Table) -> pa.Table:
-    """Pivots' texts, once for each chunk that asked."""
+def _by_id(chunk: Chunk) -> dict[int, list[bytes]]:
+    """The texts of each id; rows with equal ids may have several."""
+    out: dict[int, list[bytes]] = {}
+    for i, text in zip(chunk.ids, chunk.texts):
+        out.setdefault(i, []).append(text)
+    return out
+
+
+def _send(group: pa.Table, asked: pa.Table, span: int) -> pa.Table:
+    """Pivots' texts, once for each block of ``span`` chunks of which some asked: (relay, blob)."""
     chunk = Chunk(group.column("blob").to_pylist())
-    text = dict(zip(chunk.ids, chunk.texts))
-    by_target: dict[int, list[int]] = {}
+    text = _by_id(chunk)
+    relays: dict[int, dict[int, list[int]]] = {}
     for target, pivot in zip(asked.column("target").to_pylist(), asked.column("pivot").to_pylist()):
-        by_target.setdefault(target, []).append(pivot)
-    blobs = [pack(pa.table({"pivot": pa.array(p, pa.int64()), "text": pa.array([text[i] for i in p], pa.binary())})) for p in by_target.values()]
-    n = len(blobs)
-    return pa.table({
-        "chunk": pa.array(list(by_target), pa.int32()), "a": pa.array([None] * n, pa.int64()), "b": pa.array([None] * n, pa.int64()), "blob": pa.array(blobs, pa.binary()),
-    })
+        relays.setdefault(target // span, {}).setdefault(pivot, []).append(target)
+    blobs = []
+    for wanted in relays.values():
+        rows = [(p, x, targets) for p, targets in wanted.items() for x in text[p]]
+        blobs.append(pack(pa.table({
+            "pivot": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.binary()), "targets": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
+        })))
+    return pa.table({"relay": pa.array([chunk_number(group) * 1_000_003 + r for r in relays], pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _relay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Relay -> (chunk, blob): the texts for each chunk that asked."""
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            t = unpack(blob)
+            targets = t.column("targets").combine_chunks()
+            row = np.repeat(np.arange(t.num_rows), np.diff(targets.offsets.to_numpy()))
+            target = targets.flatten().to_numpy()
+            for k in np.unique(target).tolist():
+                some = t.select(["pivot", "text"]).take(pa.array(row[target == k]))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(some)], pa.binary())], names=["chunk", "blob"])
+
+
+def sent_texts(packed: DataFrame, asked: DataFrame, n_chunks: int) -> DataFrame:
+    """(chunk, blob): the texts of ``pivot`` for chunk ``target``, of rows (chunk, pivot, target) with the pivot's chunk. In two
+    hops of about the square root of the chunks each."""
+    span = max(1, math.isqrt(n_chunks))
+    by_relay = packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(trimmed(lambda g, a: _send(g, a, span)), "relay long, blob binary")
+    return by_relay.repartition("relay").mapInArrow(_relay, "chunk int, blob binary")
 
 
 def _compare(group: pa.Table, work: pa.Table) -> pa.Table:
-    chunk = Chunk(group.column("blob").to_pylist())
-    text = dict(zip(chunk.ids, chunk.texts))
-    pivots: dict[int, bytes] = {}
+    text = _by_id(Chunk(group.column("blob").to_pylist()))
+    pivots: dict[int, list[bytes]] = {}
     pairs = []
     for a, b, blob in zip(*(work.column(c).to_pylist() for c in ("a", "b", "blob"))):
         if blob is None:
             pairs.append((b, a))
         else:
             t = unpack(blob)
-            pivots.update(zip(t.column("pivot").to_pylist(), t.column("text").to_pylist()))
+            for p, x in zip(t.column("pivot").to_pylist(), t.column("text").to_pylist()):
+                pivots.setdefault(p, []).append(x)
     found = []
-    at, pivot = None, None
+    at, pivot = None, []
     for b, a in sorted(pairs):
         if b != at:
-            at, pivot = b, multiset(pivots[b])
-        found.append((a, b, linked(*overlap(multiset(text[a]), pivot))))
+            at, pivot = b, [multiset(x) for x in pivots[b]]
+        found.append((a, b, any(linked(*overlap(multiset(x), p)) for x in text[a] for p in pivot)))
     return pa.table({
         "a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()),
         "linked": pa.array([f[2] for f in found], pa.bool_()),
@@ -225,8 +267,8 @@ def pack_some(docs: DataFrame, ids: DataFrame, n_chunks: int) -> DataFrame:
 def verify(packed: DataFrame, pairs: DataFrame, n_chunks: int) -> DataFrame:
     """(a, b, linked) for each pair (a, b) of ids whose documents are in ``packed``."""
     asked = pairs.select(_chunk_of("b", n_chunks).alias("chunk"), F.col("b").alias("pivot"), _chunk_of("a", n_chunks).alias("target")).distinct()
-    kind = "chunk int, a long, b long, blob binary"
-    texts = packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(trimmed(_send), kind)
+    nothing = F.lit(None).cast("long")
+    texts = sent_texts(packed, asked, n_chunks).select("chunk", nothing.alias("a"), nothing.alias("b"), "blob")
     work = texts.union(pairs.select(_chunk_of("a", n_chunks).alias("chunk"), "a", "b", F.lit(None).cast("binary").alias("blob")))
     return packed.groupBy("chunk").cogroup(work.groupBy("chunk")).applyInArrow(trimmed(_compare), "a long, b long, linked boolean")
 
@@ -264,13 +306,18 @@ def _search(group: pa.Table, asked: pa.Table) -> pa.Table:
             return x
 
         for doc, text in zip(chunk.ids, chunk.texts):
+            if doc is None:
+                continue
             mine = elements(text)
             at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
             at = at[known[at] == mine]
             if not len(at):
                 continue
-            n = end[at] - begin[at]
-            common = np.bincount(owner[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(sets))
+            # Postings are read in portions, so a text that shares much with many takes no more memory than one portion.
+            common = np.zeros(len(sets), np.int64)
+            portion = np.cumsum(end[at] - begin[at]) // POSTINGS
+            for own in np.split(at, np.flatnonzero(np.diff(portion)) + 1):
+                common += np.bincount(owner[spread(begin[own], end[own] - begin[own])], minlength=len(sets))
             union = sizes + len(mine) - common
             for i in np.flatnonzero(5 * common >= 4 * union).tolist():
                 a, b = find(doc), find(ids[i])
@@ -287,7 +334,7 @@ def search(packed: DataFrame, asked: DataFrame, n_chunks: int) -> DataFrame:
     most = asked.groupBy("target").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-most // SEARCH_BLOCK))
     here = asked.select(_chunk_of("pivot", n_chunks).alias("chunk"), "pivot", (F.col("target") * blocks + F.pmod(F.xxhash64("pivot", F.lit("block")), F.lit(blocks))).cast("int").alias("target"))
-    texts = packed.groupBy("chunk").cogroup(here.groupBy("chunk")).applyInArrow(trimmed(_send), "chunk int, a long, b long, blob binary")
+    texts = sent_texts(packed, here, n_chunks * blocks)
     parts = packed.select(F.explode(F.sequence(F.col("chunk") * blocks, F.col("chunk") * blocks + (blocks - 1))).alias("chunk"), "blob")
     return parts.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(trimmed(_search), "a long, b long")
 
@@ -295,16 +342,16 @@ def search(packed: DataFrame, asked: DataFrame, n_chunks: int) -> DataFrame:
 # --- classes ---
 
 
-def link_texts(docs: DataFrame, members: DataFrame, n_chunks: int) -> DataFrame:
+def link_texts(docs: DataFrame, members: DataFrame, given: DataFrame, n_chunks: int) -> DataFrame:
     """(id, root) of the different texts that share keys: ``members`` has rows (key, pivot, doc), the pivot being the
-    key's smallest id.
+    key's smallest id. ``given`` has links (a, b) that hold in any case.
 
     All texts of a key are compared with its pivot. Then each text outside the pivot's class is searched for among all
     others of the key, if there are any besides the pivot and its own class. So each pair of a key is compared, or
     both are in one class."""
     packed = cut(pack_some(docs, members.select(F.col("doc").alias("id")), n_chunks))
     pairs = cut(members.where("doc != pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
-    found = cut(verify(packed, pairs, n_chunks).where("linked").select("a", "b"))
+    found = cut(verify(packed, pairs, n_chunks).where("linked").select("a", "b").union(given))
     roots = cut(components(found))
     named = members.join(roots, members.doc == roots.id, "left").select("key", "pivot", "doc", F.coalesce("root", "doc").alias("root"))
     in_key = named.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("doc") == F.col("pivot"), F.col("root"))).alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -320,21 +367,39 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for each row of ``docs``."""
     n_chunks = chunk_count(text_bytes(docs))
     made = cut(sketch(docs))
-    rep = made.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("rep"))
+    # Written before it is joined: the join is then between two shuffles, of which Spark parts the one with a hot content.
+    rep = cut(made.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("rep")))
     keyed = cut(made.join(rep, "content", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "keys"))
-    every = keyed.where("doc_id = rep").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+    several = keyed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
+    same_id = cut(keyed.select("doc_id", "rep").join(several, "doc_id", "left_semi").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    every = keyed.where("doc_id = rep").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc")).distinct()
     shared = every.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").select("key", "pivot")
     members = cut(every.join(shared, "key"))
-    roots = link_texts(docs, members, n_chunks)
+    roots = link_texts(docs, members, same_id, n_chunks)
     named = keyed.join(roots, keyed.rep == roots.id, "left")
     return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each class; all columns stay. Of rows with equal ids one stays; rows with a
-    null id stay, one for each text. The anti join and the window share one exchange of the texts, by id."""
-    gone = classes(docs.select("doc_id", "text")).where("class_id != doc_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    return rest.select(*kept, F.row_number().over(same).alias("_row")).where("_row = 1").select(*kept)
+    null id stay, one for each text.
+
+    Ids are marked first, without texts: those whose rows go, those that several rows have, and null. Only rows with
+    such an id are looked at again, and combined in the tasks."""
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    whole = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns)))
+    back = [F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    marked = cut(
+        classes(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("id")).agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+        .where("id IS NULL OR class_id != id OR n > 1")
+    )
+    own = F.col("doc_id").cast("long") == F.col("id")
+    kept = docs.join(marked.select(F.col("id")), own, "left_anti").where(F.col("doc_id").isNotNull()).select(*columns)
+    again = marked.where("id = class_id AND n > 1").select("id")
+    if not again.isEmpty():
+        rows = docs.join(again, own, "left_semi").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), whole.alias("w"))
+        kept = kept.union(rows.groupBy("id").agg(F.min_by("w", "h").alias("r")).select(*back))
+    if not marked.where("id IS NULL").isEmpty():
+        rows = docs.where(F.col("doc_id").isNull()).select(F.xxhash64("text").alias("h"), whole.alias("w"))
+        kept = kept.union(rows.groupBy("h").agg(F.first("w").alias("r")).select(*back))
+    return kept

@@ -15,7 +15,9 @@ batches that have them too, send the words of the runs of windows, and the bucke
 equal, word by word.
 
 Hash arrays are a fixed few bytes an anchor, and a group of copies sends one text a chunk, so no key's rows meet in
-one task. Null and empty texts have no words; rows with equal ids are documents like others.
+one task; windows around a frequent phrase are dealt by their own hashes (see ``exchange``). Null and empty texts have no
+words; rows with equal ids, repeated rows too, are documents like others and each give a row. Texts may be of any
+length; other columns, whatever their names, are ignored. An empty table gives no rows, an empty batch an empty run.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Chunk, byte_texts, checkpoint_dir, chunk_count, chunked, pack, slices, small_batches, text_bytes, trimmed, unpack
-from .exchange import RunTexts, chunk_number, covered, sent_rows, spread
+from .common import Chunk, byte_texts, checkpoint_dir, chunk_count, chunked, slices, small_batches, text_bytes, trimmed
+from .exchange import ANSWERS, SENT_ROWS, RunTexts, answered, covered, read_runs, sent_rows, spread
 
 SCHEME = anchors.Words()
 LENGTH = SCHEME.length
@@ -75,23 +77,17 @@ def _join_rows(group: pa.Table, earlier: pa.Table) -> pa.Table:
     return row.set_column(2, "times", pa.array([times.tobytes()], pa.binary()))
 
 
-def _mark_rows(group: pa.Table, index: pa.Table, since: int) -> pa.Table:
+def _mark_rows(group: pa.Table, index: pa.Table, since: int, n_chunks: int) -> pa.Table:
     """The hashes of each row that the index has more than once and a chunk from ``since`` on has."""
     known = [anchors.from_bytes(x)[np.frombuffer(t, np.uint8) > 1] for x, t in zip(index.column("sent").to_pylist(), index.column("times").to_pylist())]
-    value = np.unique(np.concatenate(known or [np.zeros(0, np.uint64)]))
-    if since:
-        judged = [anchors.from_bytes(x) for k, x in zip(group.column("chunk").to_pylist(), group.column("sent").to_pylist()) if k >= since]
-        value = np.intersect1d(value, np.concatenate(judged or [np.zeros(0, np.uint64)]))
-    rows = []
-    for number, k, raw in zip(*(group.column(c).to_pylist() for c in ("chunk", "bucket", "sent"))):
-        x = anchors.from_bytes(raw)
-        x = np.unique(x[value[np.minimum(np.searchsorted(value, x), len(value) - 1)] == x]) if len(value) else value
-        if len(x):
-            rows.append((number, k, anchors.to_bytes(x)))
-    return pa.table({
-        "chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()),
-        "sent": pa.array([r[2] for r in rows], pa.binary()),
-    })
+    wanted = np.unique(np.concatenate(known or [np.zeros(0, np.uint64)]))
+    judged = group.column("chunk").to_numpy() >= since
+
+    def again(value: np.ndarray, row: np.ndarray, times: np.ndarray) -> np.ndarray:
+        out = np.isin(value, wanted)
+        return out & np.isin(value, value[judged[row]]) if since else out
+
+    return answered(group, again, n_chunks)
 
 
 class FingerprintIndex:
@@ -173,33 +169,16 @@ class FingerprintIndex:
             self.runs = [self._write(self.read().groupBy("bucket").applyInArrow(trimmed(_merge_rows), _RUN))]
 
     def repeated(self, sent: DataFrame, since: int = 0) -> DataFrame:
-        """Rows (bucket, chunk, sent) merge-joined with the runs: the hashes that came more than once, if a chunk from
+        """Rows (bucket, chunk, sent, times) merge-joined with the runs: the hashes that came more than once, if a chunk from
         ``since`` on has them."""
-        return sent.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInArrow(
-            trimmed(lambda g, i: _mark_rows(g, i, since)), "chunk int, bucket int, sent binary"
-        )
-
-
-def anchor_rows(group: pa.Table, n_buckets: int) -> pa.Table:
-    chunk = Chunk(group.column("blob").to_pylist())
-    values = [anchors.runs(SCHEME, chunk.texts[a:b])[3] for a, b in chunk.parts()]
-    return sent_rows(np.unique(np.concatenate(values or [np.zeros(0, np.uint64)])), group, n_buckets)
+        n_chunks = self.first[-1]
+        return sent.groupBy("bucket").cogroup(self.read().groupBy("bucket")).applyInArrow(trimmed(lambda g, i: _mark_rows(g, i, since, n_chunks)), ANSWERS)
 
 
 def run_rows(group: pa.Table, answers: pa.Table, n_buckets: int) -> pa.Table:
     """Chunk -> (bucket, chunk, blob): its different run texts with windows, sent hash and how often they stand there."""
     made = RunTexts(SCHEME, Chunk(group.column("blob").to_pylist()), answers, n_buckets)
-    times = np.bincount(made.uses[2], minlength=len(made.raws))
-    out = []
-    for k, at in made.by_bucket:
-        out.append((k, pack(pa.table({
-            "raw": pa.array([made.raws[i] for i in at.tolist()], pa.binary()), "windows": pa.array(made.windows[at], pa.int32()),
-            "sent": pa.array(made.sent[at]), "times": pa.array(np.minimum(times[at], 2)),
-        }))))
-    return pa.table({
-        "bucket": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([chunk_number(group)] * len(out), pa.int32()),
-        "blob": pa.array([b for _, b in out], pa.binary()),
-    })
+    return made.rows(group, np.minimum(np.bincount(made.uses[2], minlength=len(made.raws)), 2).astype(np.int64))
 
 
 def verify_rows(group: pa.Table) -> pa.Table:
@@ -207,8 +186,9 @@ def verify_rows(group: pa.Table) -> pa.Table:
     number: dict[bytes, int] = {}
     windows, sent, times, parts = [], [], [], []
     for blob in group.column("blob").to_pylist():
-        t, mine = unpack(blob), []
-        for raw, w, v, n in zip(*(t.column(c).to_pylist() for c in ("raw", "windows", "sent", "times"))):
+        texts, *numbers = read_runs(blob)
+        mine = []
+        for raw, w, v, n in zip(texts, *(x.tolist() for x in numbers)):
             k = number.setdefault(raw, len(windows))
             if k == len(windows):
                 windows.append(w)
@@ -269,14 +249,14 @@ def remove_known(index: FingerprintIndex, batch: int = 0, keep_text: bool = True
     ``keep_text``, the kept words as ``text``. Windows are judged against all documents of the index."""
     n_buckets, since = index.n_buckets, index.first[batch]
     packed = index.documents()
-    sent = packed.groupBy("chunk").applyInArrow(trimmed(lambda g: anchor_rows(g, n_buckets)), "bucket int, chunk int, sent binary")
+    sent = packed.groupBy("chunk").applyInArrow(trimmed(lambda g: sent_rows(SCHEME, Chunk(g.column("blob").to_pylist()), g, n_buckets)), SENT_ROWS)
     repeated = index.repeated(sent, since)
     flags = (
         packed.groupBy("chunk").cogroup(repeated.groupBy("chunk"))
         .applyInArrow(trimmed(lambda g, a: run_rows(g, a, n_buckets)), "bucket int, chunk int, blob binary")
         .groupBy("bucket").applyInArrow(trimmed(verify_rows), "chunk int, bucket int, sent binary")
     )
-    answers = repeated.withColumn("kind", F.lit(0)).union(flags.withColumn("kind", F.lit(1)))
+    answers = repeated.withColumn("kind", F.lit(0)).union(flags.select("*", F.lit(None).cast("binary").alias("hot"), F.lit(1).alias("kind")))
     if since:
         packed, answers = (x.where(F.col("chunk") >= since) for x in (packed, answers))
     out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(

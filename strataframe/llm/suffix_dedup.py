@@ -4,17 +4,26 @@ A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts in
 Matches never cross documents, overlaps count, and strings are judged on the input.
 
 1. Documents are grouped into chunks. Each chunk sends the hashes of its windows' anchors (see ``anchors``) to hash
-   buckets, a hash that two of its documents have twice; buckets answer which hashes came twice or more.
+   buckets, with the number of different texts around each; buckets answer which hashes two documents have, and which
+   of them are *hot*: those of phrases, shorter than a window, with many different texts around them.
 2. Around each repeated anchor, a chunk sends the text of the run of windows that the anchor stands for, once for each
-   different text, with the smallest id that has it. Equal windows have equal anchors, so they meet in one bucket.
+   different text, with the smallest id that has it. Equal windows have equal anchors, so they meet in one bucket. A hot
+   anchor's runs are parted into windows, each dealt by the hash of its own text, so no phrase fills a bucket.
 3. A bucket builds the suffix array of its different run texts by the difference-cover algorithm: suffixes at places
    1 and 2 modulo 3 are sorted by triples of names, recursing on the names until they differ, the remaining suffixes
    are sorted by first byte and the rank behind it, and both are merged. Adjacent suffixes with a common prefix of
    ``LENGTH`` bytes form a class; each window learns whether its class has a smaller id.
 4. Chunks read the answers and cut their texts.
 
+The sort is local to groups of about ``SORT_BYTES`` of runs: sorting triples across tasks would send each candidate byte's
+suffix with its names, over 16 bytes for each byte and level of recursion, while the anchors, whose hashes equal windows
+share, part the suffixes just as completely. Results are the same.
+
 A group of copies of any size sends one run text a chunk, so no key's rows meet in one task. A null text is empty; a
-null id is larger than any other; rows with equal ids don't remove each other's text.
+null id is larger than any other; rows with equal ids, repeated rows too, don't remove each other's text and each give
+a row. Texts may be of any length: they are read in slices, and a text longer than a chunk makes one of its own. Other
+columns, whatever their names, are ignored (``remove_repeats``) or passed through (``cut_documents``). An empty table gives
+none.
 """
 
 from __future__ import annotations
@@ -25,10 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import anchors
-from .common import Chunk, chunk_count, chunked, others, pack, text_bytes, trimmed, unpack
-from .exchange import RunTexts, chunk_number, covered, sent_rows, spread
+from .common import Chunk, chunk_count, chunked, others, others_struct, text_bytes, trimmed
+from .exchange import ANSWERS, SENT_ROWS, TWO, RunTexts, answered, covered, read_runs, sent_rows, spread
 
 LENGTH = anchors.Bytes.length
 SCHEME = anchors.Bytes()
@@ -124,57 +134,23 @@ def _ids(chunk: Chunk) -> np.ndarray:
     return np.array([NULL_ID if i is None else i for i in chunk.ids], np.int64)
 
 
-def anchor_rows(group: pa.Table, n_buckets: int) -> pa.Table:
-    """Chunk -> (bucket, chunk, sent hashes): one of each anchor, two of those that two documents have."""
-    chunk = Chunk(group.column("blob").to_pylist())
-    texts, values = [], []
-    for a, b in chunk.parts():
-        text, _, _, value = anchors.runs(SCHEME, chunk.texts[a:b])
-        texts.append(text + a)
-        values.append(value)
-    text, value = np.concatenate(texts or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0, np.uint64)])
-    order = np.lexsort((text, value))
-    text, value = text[order], value[order]
-    fresh = np.ones(len(value), bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-    return sent_rows(value[fresh], group, n_buckets)
-
-
-def repeated_rows(group: pa.Table) -> pa.Table:
-    """Bucket -> (chunk, bucket, sent hashes that came twice or more)."""
-    arrays = [anchors.from_bytes(x) for x in group.column("sent").to_pylist()]
-    value = np.concatenate(arrays)
-    order = np.argsort(value)
-    same = np.zeros(len(value) + 1, bool)
-    same[1:-1] = value[order[1:]] == value[order[:-1]]
-    again = np.zeros(len(value), bool)
-    again[order] = same[1:] | same[:-1]
-    rows, begin = [], 0
-    for number, k, x in zip(group.column("chunk").to_pylist(), group.column("bucket").to_pylist(), arrays):
-        mine = np.unique(x[again[begin : begin + len(x)]])
-        begin += len(x)
-        if len(mine):
-            rows.append((number, k, anchors.to_bytes(mine)))
-    return pa.table({
-        "chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()),
-        "sent": pa.array([r[2] for r in rows], pa.binary()),
-    })
+def repeated_rows(group: pa.Table, n_chunks: int) -> pa.Table:
+    """Bucket -> (chunk, bucket, sent, hot): hashes that two documents have."""
+
+    def again(value: np.ndarray, row: np.ndarray, times: np.ndarray) -> np.ndarray:
+        different, where, rows = np.unique(value, return_inverse=True, return_counts=True)
+        two = rows > 1
+        two[where[times >= TWO]] = True
+        return two[where]
+
+    return answered(group, again, n_chunks)
 
 
 def run_rows(group: pa.Table, answers: pa.Table, n_buckets: int) -> pa.Table:
     """Chunk -> (bucket, chunk, blob): its different run texts with windows, sent hash and smallest id."""
     chunk = Chunk(group.column("blob").to_pylist())
-    made, ids = RunTexts(SCHEME, chunk, answers, n_buckets), _ids(chunk)
-    out = []
-    for k, at in made.by_bucket:
-        out.append((k, pack(pa.table({
-            "raw": pa.array([made.raws[i] for i in at.tolist()], pa.binary()), "windows": pa.array(made.windows[at], pa.int32()),
-            "sent": pa.array(made.sent[at]), "id": pa.array(ids[made.holder[at]]),
-        }))))
-    return pa.table({
-        "bucket": pa.array([k for k, _ in out], pa.int32()), "chunk": pa.array([chunk_number(group)] * len(out), pa.int32()),
-        "blob": pa.array([b for _, b in out], pa.binary()),
-    })
+    made = RunTexts(SCHEME, chunk, answers, n_buckets)
+    return made.rows(group, _ids(chunk)[made.holder])
 
 
 def smaller_ids(raws: list[bytes], windows: np.ndarray, sent: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -211,22 +187,21 @@ def smaller_ids(raws: list[bytes], windows: np.ndarray, sent: np.ndarray, ids: n
 def flag_rows(group: pa.Table) -> pa.Table:
     """Bucket -> (chunk, bucket, bits): for each run text that a chunk sent, which windows have a smaller id."""
     number: dict[bytes, int] = {}
-    raws: list[bytes] = []
     windows, sent, ids, parts = [], [], [], []
     for blob in group.column("blob").to_pylist():
-        t = unpack(blob)
+        texts, w, v, own = read_runs(blob)
         mine = []
-        for raw, w, v, i in zip(*(t.column(c).to_pylist() for c in ("raw", "windows", "sent", "id"))):
-            k = number.setdefault(raw, len(raws))
-            if k == len(raws):
-                raws.append(raw)
-                windows.append(w)
-                sent.append(v)
+        for raw, w_, v_, i in zip(texts, w.tolist(), v.tolist(), own.tolist()):
+            k = number.setdefault(raw, len(ids))
+            if k == len(ids):
+                windows.append(w_)
+                sent.append(v_)
                 ids.append(i)
             elif i < ids[k]:
                 ids[k] = i
             mine.append(k)
-        parts.append((np.array(mine), t.column("id").to_numpy()))
+        parts.append((np.array(mine, np.int64), own))
+    raws = list(number)
     w, least = np.array(windows, np.int64), np.array(ids, np.int64)
     flags = smaller_ids(raws, w, np.array(sent, np.int64), least)
     offset = np.cumsum(w) - w
@@ -276,20 +251,19 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, extra: bool = False)
     n_chunks = chunk_count(text_bytes(docs))
     n_buckets = n_chunks
     packed = chunked(docs, n_chunks, extra)
-    answer = "chunk int, bucket int, sent binary"
     repeated = (
-        packed.groupBy("chunk").applyInArrow(trimmed(lambda g: anchor_rows(g, n_buckets)), "bucket int, chunk int, sent binary")
-        .groupBy("bucket").applyInArrow(trimmed(repeated_rows), answer)
+        packed.groupBy("chunk").applyInArrow(trimmed(lambda g: sent_rows(SCHEME, Chunk(g.column("blob").to_pylist()), g, n_buckets)), SENT_ROWS)
+        .groupBy("bucket").applyInArrow(trimmed(lambda g: repeated_rows(g, n_chunks)), ANSWERS)
     )
     flags = (
         packed.groupBy("chunk").cogroup(repeated.groupBy("chunk"))
         .applyInArrow(trimmed(lambda g, a: run_rows(g, a, n_buckets)), "bucket int, chunk int, blob binary")
-        .groupBy("bucket").applyInArrow(trimmed(flag_rows), answer)
+        .groupBy("bucket").applyInArrow(trimmed(flag_rows), "chunk int, bucket int, sent binary")
     )
-    answers = repeated.withColumn("kind", F.lit(0)).union(flags.withColumn("kind", F.lit(1)))
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary"
+    answers = repeated.withColumn("kind", F.lit(0)).union(flags.select("*", F.lit(None).cast("binary").alias("hot"), F.lit(1).alias("kind")))
+    kind = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary")
     if extra and others(docs):
-        kind += f", extra {docs.select(F.struct(*(F.col(f'`{c}`') for c in others(docs))).alias('x')).schema['x'].dataType.simpleString()}"
+        kind = kind.add("extra", docs.select(others_struct(docs).alias("x")).schema["x"].dataType)
     out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(trimmed(lambda g, a: cut_rows(g, a, n_buckets, keep_text)), kind)
     return out if keep_text else out.drop("text")
 
@@ -306,7 +280,10 @@ def cut_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     plain = cut_rows_.select("doc_id", "text", *(["extra"] if others(docs) else []))
-    kind = ", ".join(f"{f.name} {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in plain.schema.fields)
+    kind = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in plain.schema.fields])
     made = plain.mapInArrow(run, kind)
-    cols = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col(f"extra.`{c}`").alias(c) for c in docs.columns]
-    return made.select(*cols)
+    place = {c: i for i, c in enumerate(others(docs))}
+    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), "n_chars": F.length("text")}
+    return made.select(*(
+        (own[c].cast(docs.schema[c].dataType) if c in own else F.col(f"extra.c{place[c]}")).alias(c) for c in docs.columns
+    ))

@@ -163,21 +163,21 @@ def lm_score(docs, model) -> dict[int | None, list[float]]:
 
 
 def near_classes(docs, size: int = 5):
-    bags = {i: Counter(tuple(w[p : p + size]) for p in range(len(w) - size + 1)) for i, w in ((i, words(t)) for i, t in docs)}
-    texts = {i: tuple(words(t)) for i, t in docs}
-    parent = {i: i for i, _ in docs}
+    """Class by id. Rows with equal ids share a class."""
+    rows = [(i, words(t)) for i, t in docs]
+    bags = [Counter(tuple(w[p : p + size]) for p in range(len(w) - size + 1)) for _, w in rows]
+    parent = {i: i for i, _ in rows}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(parent)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            common = sum((bags[a] & bags[b]).values())
-            union = sum(bags[a].values()) + sum(bags[b].values()) - common
-            if (texts[a] and texts[a] == texts[b]) or (union and 5 * common >= 4 * union):
+    for k, (a, v) in enumerate(rows):
+        for j, (b, w) in enumerate(rows[:k]):
+            common = sum((bags[k] & bags[j]).values())
+            union = sum(bags[k].values()) + sum(bags[j].values()) - common
+            if (v and v == w) or (union and 5 * common >= 4 * union):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
+    return {i: find(i) for i in parent}

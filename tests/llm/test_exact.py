@@ -196,8 +196,7 @@ def test_bpe_random_texts():
 
 
 def test_near_dup(docs, pairs):
-    known = {i: t for i, t in pairs if i is not None}
-    want = brute.near_classes(list(known.items()))
+    want = brute.near_classes([(i, t) for i, t in pairs if i is not None])
     got = near_dup.classes(docs).collect()
     assert len(got) == len(pairs)
     assert all(r.class_id == want[r.doc_id] for r in got if r.doc_id is not None)
@@ -219,6 +218,64 @@ def test_near_dup_pivots(spark):
     assert got == want
 
 
+def test_near_dup_equal_ids(spark):
+    """Rows with equal ids share a class, and links of each of their texts count."""
+    r = random.Random(4)
+    a, b, c, d = (" ".join(f"w{r.randrange(9**9)}" for _ in range(80)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (8, b + " more"), (9, c), (9, d), (2, d + " end"), (11, c), (11, c), (12, None), (13, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_classes([x for x in rows if x[0] is not None])
+    assert want == {3: 3, 5: 3, 8: 3, 9: 2, 2: 2, 11: 2, 12: 12, 13: 13}
+    got = near_dup.classes(docs).collect()
+    assert len(got) == len(rows) and all(x.class_id == want.get(x.doc_id) for x in got)
+    assert sorted(x.doc_id or -1 for x in near_dup.keep_one(docs).collect()) == [-1, 2, 3, 12, 13]
+
+
+def test_keep_one_keeps_any_columns(spark):
+    rows = [(1, "a b c", 1, 2, 3), (1, "a b c", 1, 2, 3), (2, "a  b c", 4, 5, 6), (None, "x", 7, 8, 9), (None, "x", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _row int, `my col` int, `a.b-c``d` int")
+    got = near_dup.keep_one(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=repr) == [rows[0], rows[3]]
+
+
+@pytest.mark.parametrize("n", [150, 600])
+def test_near_dup_recall(spark, n):
+    """Pairs at a similarity just over 0.8 share a class, at more than one size: what the formula says."""
+    r = random.Random(n)
+    rows = []
+    for i in range(n):
+        w = [f"w{r.randrange(40)}" for _ in range(r.randrange(120, 300))]
+        rows.append((2 * i, " ".join(w)))
+        for p in r.sample(range(len(w)), max(1, len(w) // 48)):  # five shingles a word changed
+            w[p] = f"v{i}"
+        rows.append((2 * i + 1, " ".join(w)))
+    bag = near_dup.multiset
+    near = [i for i in range(n) if near_dup.linked(*near_dup.overlap(bag(rows[2 * i][1].encode()), bag(rows[2 * i + 1][1].encode())))]
+    got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > n // 3
+    assert sum(got[2 * i] == got[2 * i + 1] for i in near) >= 0.99 * len(near)
+
+
+def test_near_dup_real_pairs(spark, real):
+    """Recall on the given table, against all pairs found by an inverted index."""
+    rows = [(x.doc_id, x.text) for x in real.select("doc_id", "text").collect()]
+    sets = [near_dup.elements((t or "").encode()) for _, t in rows]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    got = {x.doc_id: x.class_id for x in near_dup.classes(real).collect()}
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    found = 0
+    for i, mine in enumerate(sets):
+        lo, hi = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
+        common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi)] or [owner[:0]]), minlength=len(sets))
+        for j in np.flatnonzero(5 * common >= 4 * (len(mine) + np.array(list(map(len, sets))) - common)).tolist():
+            if j < i and common[j]:
+                found += 1
+                assert got[rows[i][0]] == got[rows[j][0]]
+    assert found
+
+
 def test_bagminhash_is_unbiased():
     """Registers agree as often as the weighted Jaccard similarity says, for weights below and above powers of two."""
     r = np.random.default_rng(2)
@@ -236,3 +293,64 @@ def test_bagminhash_is_unbiased():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf_dir, name):
     check(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.ORACLES[name])
+
+
+def _frequent_phrase(n: int, words: bool):
+    """Texts that share a phrase shorter than a window, with different text around it, and a few that share more."""
+    r = random.Random(11)
+    draw = (lambda k: " ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(k))) if words else (lambda k: "".join(r.choice("abcdefghij ") for _ in range(k)))
+    phrase, size = (" " + draw(30) + " ", 25) if words else (draw(45), 40)
+    rows = [(i, draw(size) + phrase + draw(size)) for i in range(n)]
+    return rows + [(n + i, "x y z " + rows[7 * i][1] + " w") for i in range(20)]
+
+
+@pytest.mark.parametrize("op", [suffix_dedup, substring_index])
+def test_frequent_phrases_are_parted(spark, monkeypatch, op):
+    """The texts around a phrase that thousands share don't meet in one bucket, and results stay."""
+    from strataframe.llm import exchange
+
+    words = op is substring_index
+    rows = _frequent_phrase(3000, words)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = by_repr((brute.substring_index if words else brute.suffix_dedup)(rows))
+    cols = ("doc_id", "n_words", "n_removed", "kept_sha256") if words else ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    monkeypatch.setattr(op, "chunk_count", lambda n: 16)
+    assert table(op.remove_repeats(docs, keep_text=False), *cols) == want
+    # One chunk's share of the run texts: under one hash without parting, spread over buckets with it.
+    group = pa_group(rows)
+    chunk = exchange.Chunk(group.column("blob").to_pylist())
+    sent = exchange.sent_rows(op.SCHEME, chunk, group, 16).to_pandas()
+    import pyarrow as pa
+
+    largest = {}
+    for hot in (10**9, 100):
+        monkeypatch.setattr(exchange, "HOT", hot)
+        parts = [exchange.answered(pa.Table.from_pandas(g, schema=exchange_schema()), lambda v, r, t: np.ones(len(v), bool), 1) for _, g in sent.groupby("bucket")]
+        made = exchange.RunTexts(op.SCHEME, chunk, pa.concat_tables(parts), 16)
+        largest[hot] = np.unique(made.sent, return_counts=True)[1].max()
+    assert largest[10**9] > 500 and largest[100] < 100
+
+
+def exchange_schema():
+    import pyarrow as pa
+
+    return pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("sent", pa.binary()), ("times", pa.binary())])
+
+
+def pa_group(rows):
+    import pyarrow as pa
+
+    from strataframe.llm.common import pack
+
+    blob = pack(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t.encode() for _, t in rows], pa.binary())}))
+    return pa.table({"chunk": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+
+def test_cells_are_small():
+    """What a chunk sends a bucket costs a few bytes beside the data, however little they share."""
+    from strataframe.llm.common import cell, uncell
+
+    for parts in ([], [b""], [b"a", b"", b"bcd"], [b"x" * 5000, b"y"]):
+        assert uncell(cell(*parts)) == parts
+    assert len(cell(b"\x01", b"12345", b"12345678", b"1234", b"x" * 50)) < 100
+    assert len(cell(b"x" * 5000)) < 100
