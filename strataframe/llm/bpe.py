@@ -6,7 +6,9 @@ associatively, so the state before each code point comes from a blocked prefix s
 table says whether a piece starts there. Pieces go through a bounded cache of merged ids, and each token keeps its
 end offset, so any part of the ids can be decoded and placed.
 
-Null and empty texts give no ids. Any text that Spark can hold as a string is encoded; decoding gives its UTF-8 bytes.
+Null and empty texts give no ids. Any text that Spark can hold as a string, of any length, is encoded; decoding gives its
+UTF-8 bytes. Each row gives a row, equal texts equal ids. Other columns stay; one that has the name of a new column is kept
+as ``original_<name>``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import SLICE_BYTES, release, slices, small_batches
+from .common import SLICE_BYTES, quoted, release, set_aside, slices, small_batches
 
 #: Pieces held by a worker's cache before it starts anew.
 CACHE_PIECES = 400_000
@@ -243,7 +246,9 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -
     """Replace ``text`` by ``ids`` (binary: little-endian unsigned 32-bit ids) and ``token_ends`` (binary:
     little-endian signed 64-bit byte offsets where each token ends; left out without ``offsets``). Other columns stay,
     and so does each row. No shuffle."""
-    kept = [c for c in small_batches(df).columns if c not in (text, "ids", "token_ends")]
+    new = StructType.fromDDL("ids binary, token_ends binary" if offsets else "ids binary")
+    df = set_aside(small_batches(df), [n for n in new.names if n != text])
+    kept = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
@@ -254,19 +259,18 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = True) -
                 if offsets:
                     made.append(pa.array([token_ends(x, vocab).astype("<i8").tobytes() for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), *made], names=[*kept, "ids", "token_ends"][: len(kept) + len(made)]
+                    [*(part.column(c) for c in kept), *made], names=[*kept, *new.names]
                 )
         vocab.clear()
         release()
 
-    keep = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept]
-    made = ["ids binary", "token_ends binary"][: 1 + offsets]
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`")).mapInArrow(run, ", ".join([*keep, *made]))
+    return df.select(*(F.col(quoted(c)) for c in [*kept, text])).mapInArrow(run, StructType([f for f in df.schema.fields if f.name != text] + new.fields))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded`` (binary): the bytes that the packed ids stand for. Null ids give no bytes. No shuffle."""
-    kept = [c for c in df.columns if c != "decoded"]
+    df = set_aside(df, ["decoded"])
+    kept = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary(path).bytes.__getitem__
@@ -275,8 +279,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 texts = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "decoded"])
 
-    keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept)
-    return df.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, f"{keep}, decoded binary")
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

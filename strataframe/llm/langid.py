@@ -6,8 +6,10 @@ each bit's loss, weighted by how well the bit was learned, and takes the nearest
 second is flagged as ambiguous.
 
 The classifiers are fitted on a bounded sample (``SAMPLE`` documents, in equal parts by language, but about
-``LEAST_EACH`` a language at least, chosen by a hash of the id, ``SAMPLE_BYTES`` of each text); every whole text is then predicted. ``und``, with score 0, is given to null
-texts and texts without a letter. Without any labelled row every text is ``und``. Equal rows give equal results.
+``LEAST_EACH`` a language at least, the first by a hash of the id), each text in whole; every whole text is then predicted.
+Texts of any length are read in pieces. ``und``, with score 0, is given to null and empty texts and to texts without a
+letter. Without any labelled row every text is ``und``; a null language teaches nothing. Equal rows give equal results, and
+each row gives one. Other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import byte_texts, id_hash, slices, small_batches
 
-#: Documents, and bytes of each, in the sample that the classifiers are fitted on; least documents a language, so that no
-#: language that has rows is left out: with many languages the sample grows.
+#: Documents in the sample that the classifiers are fitted on; least documents a language, so that no language that has
+#: rows is left out: with many languages the sample grows.
 SAMPLE = 2_400
-SAMPLE_BYTES = 20_000
 LEAST_EACH = 12
+#: Bytes of a text that are read at a time.
+PIECE = 1 << 20
 #: Hash cells for bigrams, and again for trigrams.
 CELLS = 1 << 11
 EXHAUSTIVE = 6
@@ -46,17 +50,22 @@ def features(texts: list[bytes]) -> np.ndarray:
     """Square roots of the shares of hashed bigrams and trigrams of letters and spaces; one row a text."""
     out = np.zeros((len(texts), 2 * CELLS), np.float32)
     for i, text in enumerate(texts):
-        x = _FOLD[np.frombuffer(text, np.uint8)].astype(np.uint32)
-        if len(x) > 1:
+        counts = np.zeros((2, CELLS), np.int64)
+        tail = np.zeros(0, np.uint32)  # the last two symbols of the piece before
+        for a in range(0, len(text), PIECE):
+            x = np.r_[tail, _FOLD[np.frombuffer(text, np.uint8, min(PIECE, len(text) - a), a)].astype(np.uint32)]
             keep = np.ones(len(x), bool)
             keep[1:] = (x[1:] != 32) | (x[:-1] != 32)  # runs of spaces count once
             x = x[keep]
-        two = (x[:-1] << 8) | x[1:]
-        three = (two[:-1] << 8) | x[2:]
-        for at, codes in ((0, two), (CELLS, three)):
-            if len(codes):
-                cell = (codes * np.uint32(2654435761)) >> np.uint32(21)
-                out[i, at : at + CELLS] = np.sqrt(np.bincount(cell, minlength=CELLS) / len(codes))
+            two = (x[:-1] << 8) | x[1:]
+            three = (two[:-1] << 8) | x[2:]
+            for row, codes, new in ((counts[0], two, max(len(tail) - 1, 0)), (counts[1], three, 0)):
+                cell = (codes[new:] * np.uint32(2654435761)) >> np.uint32(21)
+                row += np.bincount(cell, minlength=CELLS)
+            tail = x[-2:]
+        for at, row in ((0, counts[0]), (CELLS, counts[1])):
+            if total := row.sum():
+                out[i, at : at + CELLS] = np.sqrt(row / total)
     return out
 
 
@@ -121,23 +130,24 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     if not counts:
         return Model(np.zeros((0, 2 * CELLS), np.float32), [])
     each = max(LEAST_EACH, sample // len(counts))
-    # Ids alone decide who is in: about `each` rows a language; the limit holds even if ids repeat.
-    share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.3 * each / n))))
-    chosen = (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))
-    small = rows.where(chosen).select("lang", F.substring(F.col("text"), 1, SAMPLE_BYTES).alias("text")).limit(2 * max(sample, each * len(counts)))
+    # Ids alone decide who is in: those of the least hashes, `each` a language, of about twice as many to choose from.
+    h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
+    share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (2 * each + 30) / n))))
+    chosen = h / float(1 << 40) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 x = features(byte_texts(part.column("text"))).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
 
-    got = small.mapInArrow(run, "lang string, x binary").collect()
-    got.sort(key=lambda r: (r.lang, bytes(r.x)))
+    # A row is 8 KB whatever its text. The limit is on ordered rows, so it takes the same ones however they lie.
+    made = small_batches(rows.where(chosen).select("lang", h.alias("h"), "text")).mapInArrow(run, "lang string, h long, x binary")
+    got = made.orderBy("h", "lang", "x").limit(2 * (2 * each + 30) * len(counts)).collect()
     taken: dict[str, list[bytes]] = {}
     for r in got:
         taken.setdefault(r.lang, []).append(r.x)
-    pairs = [(lang, x) for lang, xs in taken.items() for x in xs[: 2 * each]]
+    pairs = [(lang, x) for lang, xs in sorted(taken.items()) for x in xs[:each]]
     x = np.frombuffer(b"".join(x for _, x in pairs), np.float16).reshape(len(pairs), 2 * CELLS).astype(np.float32)
     return Model(x, [lang for lang, _ in pairs])
 
@@ -157,8 +167,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                         names=["doc_id", "lang_pred", "score", "ambiguous"],
                     )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    kind = StructType([docs.schema["doc_id"], *StructType.fromDDL("lang_pred string, score double, ambiguous boolean")])
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, kind)
 
 
 def held_out():

@@ -4,10 +4,12 @@ Two zstandard dictionaries are built, from labelled good and from labelled bad t
 block is compressed with both; the difference of the summed sizes over their sum, with the share that compression
 leaves, is mapped to a probability by a logistic fit on labelled rows that built no dictionary.
 
-Dictionaries and fit use a bounded sample of labelled rows (``SAMPLE`` of each class, chosen by a hash of the id,
-``SAMPLE_CHARS`` of each text); every whole text is scored. Labels that are null, not 0 or 1, or contradict each other
-for one id teach nothing. Without rows of both classes every score is the share of good rows, or 1 without any.
-Null and empty texts score what the labelled rows' share of good ones is.
+Dictionaries and fit use a bounded sample of labelled rows (``SAMPLE`` of each class, the first by a hash of the id), each
+text in whole; every whole text is scored, block by block, so texts may be of any length. Labels that are null, not 0 or 1,
+or contradict each other for one id teach nothing; of rows with equal ids one teaches, that with the least hash of its
+text. Without rows of both classes every score is the share of good rows, or 1 without any. Null and empty texts score
+what the labelled rows' share of good ones is. Each row gives a score, equal texts equal ones, a null id too; other
+columns, whatever their names, are ignored (``classify``) or kept (``keep_good``). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, id_hash, map_texts, slices, small_batches
 
-#: Labelled rows of each class, and code points of each text, in the sample.
+#: Labelled rows of each class in the sample.
 SAMPLE = 1_500
-SAMPLE_CHARS = 16_000
 DICT_BYTES = 64 << 10
 BLOCK = 4 << 10
 LEVEL = 3
@@ -105,7 +106,9 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from ``labels`` (doc_id, quality) and their documents. Only sampled ids are broadcast: 2 * sample rows."""
+    """A model from ``labels`` (doc_id, quality) and their documents. Only sampled ids are broadcast: 2 * sample rows; as many
+    texts, in whole, reach the driver."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     one = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
     counts = {r.quality: r["count"] for r in one.groupBy("quality").count().collect()}
     total = sum(counts.values())
@@ -113,14 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], [])
     pick = lambda q: one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = pick(0).union(pick(1))
-    long = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
-    place = 1 + F.pmod(F.xxhash64("doc_id"), long + 1)
-    rows = (
-        docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "quality", F.col("text").substr(place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
-        .limit(4 * sample).collect()
-    )
-    rows.sort(key=lambda r: (r.doc_id * 0x9E3779B1 % (1 << 32), r.doc_id, r.text))
+    same = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = same.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    rows.sort(key=lambda r: (r.doc_id * 0x9E3779B1 % (1 << 32), r.doc_id))
     model = Model([r.text.encode() for r in rows if r.quality == 1], [r.text.encode() for r in rows if r.quality == 0])
     model.calibrate(counts.get(1, 0) / total)
     return model

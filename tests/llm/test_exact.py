@@ -126,7 +126,26 @@ def test_decontaminate_in_blocks(spark, docs, pairs, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = table(decontaminate.scan(docs, bench, max_words=40), "doc_id", "n_words", "n_hit")
     assert got == by_repr(r[:3] for r in brute.decontaminate(pairs, items))
-    assert decontaminate.clean(docs, bench, max_words=40).count() == decontaminate.clean(docs, bench).count()
+    assert table(decontaminate.clean(docs, bench, max_words=40), "doc_id", "extra") == table(decontaminate.clean(docs, bench), "doc_id", "extra")
+
+
+def test_decontaminate_removes_spans(spark, docs, pairs, items):
+    """Hit words go, all others stay, in one pass and in blocks."""
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    n_hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.scan(docs, bench).collect()}
+    text = dict(pairs)
+    one = decontaminate.remove_spans(docs, bench)
+    assert one.schema.simpleString() == docs.schema.simpleString()
+    got = one.collect()
+    assert len(got) == len(pairs) and any(n for _, n in n_hit.values())
+    for r in got:
+        words, hit = n_hit[r.doc_id]
+        assert len(brute.alnum(r.text)) == words - hit and r.n_chars == len(r.text or "")
+        if not hit:
+            assert r.text == text[r.doc_id]
+    in_blocks = decontaminate.remove_spans(docs, bench, max_words=40)
+    assert table(in_blocks, *docs.columns) == table(one, *docs.columns)
+    assert decontaminate.without_words(b"a, (b c) d. e", np.array([[1, 2]])) == b"a, () d. e"
 
 
 def test_licences(docs, pairs):
@@ -354,3 +373,36 @@ def test_cells_are_small():
         assert uncell(cell(*parts)) == parts
     assert len(cell(b"\x01", b"12345", b"12345678", b"1234", b"x" * 50)) < 100
     assert len(cell(b"x" * 5000)) < 100
+
+
+def test_bpe_keeps_columns(spark):
+    """Columns with the names of new ones are kept under another name."""
+    df = spark.createDataFrame([(1, "a b", 7, "x", 9, 4)], "doc_id long, text string, ids int, `my col` string, token_ends int, decoded int")
+    path = queries.bpe_path()
+    coded = bpe.encode(df, path)
+    assert coded.columns == ["doc_id", "original_ids", "my col", "original_token_ends", "decoded", "ids", "token_ends"]
+    row = bpe.decode(coded, path).first()
+    assert (row.original_ids, row["my col"], row.original_token_ends, row.original_decoded, bytes(row.decoded)) == (7, "x", 9, 4, b"a b")
+
+
+def test_any_column_names(spark, items):
+    """Nothing depends on the names of other columns."""
+    rows = [(i, f"text number {i} " + "same words here " * 20, "en", 1, 2, 3, 4) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `my col` int, `a-b` int, extra struct<`x y`:int>, n_chars int".replace("extra struct<`x y`:int>", "extra int"))
+    nested = docs.selectExpr("doc_id", "text", "lang", "`my col`", "`a-b`", "named_struct('x y', extra) AS extra", "n_chars")
+    out = suffix_dedup.cut_documents(nested)
+    assert out.schema.simpleString() == nested.schema.simpleString() and out.columns == nested.columns
+    assert sorted((r["my col"], r["a-b"], r.extra["x y"]) for r in out.collect()) == [(1, 2, 3)] * 5
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for made in (decontaminate.clean(nested, bench), decontaminate.clean(nested, bench, max_words=40), decontaminate.remove_spans(nested, bench, max_words=40)):
+        assert made.columns == nested.columns and made.count() == 5
+    assert near_dup.keep_one(nested).columns == nested.columns
+
+
+def test_null_language_is_one_of_its_own(spark):
+    text = " ".join(f"word{i % 60} other" for i in range(60))
+    docs = spark.createDataFrame([(1, text, None), (2, text, ""), (3, text, "en")], "doc_id long, text string, lang string")
+    bands = ngram_rules.bands(ngram_rules.score(docs, ngram_rules.train(docs)))
+    assert {r.band_lang for r in bands.collect()} <= {None, "", "en"}
+    assert bands.count() == 3
+    assert {r.doc_id for r in ngram_rules.judge(docs).collect()} == {1, 2, 3}
