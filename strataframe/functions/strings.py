@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,12 +57,45 @@ def image_format(content_type: Column, url: Column) -> Column:
     return F.when(png, "png").otherwise("jpeg")
 
 
-def inside(root: str, path: Column) -> Column:
-    """Whether a normalised archive path stays below ``root``: a true path comparison, not one of string prefixes."""
+def unbase64_text(x: Column) -> Column:
+    return F.unbase64(x).cast("string")
+
+
+def has_host(url: Column) -> Column:
+    """Whether an address has a scheme and a host; false for text that is no address, and for null."""
+    part = lambda name: F.coalesce(F.length(F.try_parse_url(url, F.lit(name))) > 0, F.lit(False))
+    return part("PROTOCOL") & part("HOST")
+
+
+def padded(x: Column, width: int) -> Column:
+    """A whole number with zeros in front."""
+    return F.format_string(f"%0{width}d", x)
+
 
-    @F.pandas_udf("boolean")
-    def run(paths: pd.Series) -> pd.Series:
-        top = posixpath.normpath(root)
-        return paths.map(lambda p: None if p is None else posixpath.commonpath([top, posixpath.normpath(posixpath.join(top, p))]) == top)
+def suffix(name: Column) -> Column:
+    """The last dot of a file name and what is behind it; empty without one, or if the only dot comes first."""
+    base = last_segment(name, "/")
+    return F.regexp_extract(base, "^.+(\\.[^.]+)$", 1)
 
-    return run(path)
+
+def normalised(path: Column) -> Column:
+    """An absolute path without ``.``, ``..`` and empty parts; what would climb above the root stays at the root."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda have, p: F.when(p.isin("", "."), have).when(p == "..", F.slice(have, F.lit(1), F.greatest(F.size(have) - 1, F.lit(0)))).otherwise(F.concat(have, F.array(p))),
+    )
+    return F.when(path.isNotNull(), F.concat(F.lit("/"), F.concat_ws("/", kept)))
+
+
+def joined(root: Column, path: Column) -> Column:
+    """Two paths as one; an absolute second path stands alone."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.rtrim(root, F.lit("/")), F.lit("/"), path))
+
+
+def inside(root: str, path: Column) -> Column:
+    """Whether an archive path, once normalised, stays below the absolute path ``root``: whole parts are compared, so
+    neither a sibling with the same prefix passes nor a name with two dots fails. Null for a null path."""
+    top = "/" + "/".join(p for p in root.split("/") if p)
+    real = normalised(joined(F.lit(top), path))
+    return (real == top) | real.startswith(top.rstrip("/") + "/")

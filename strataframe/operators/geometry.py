@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 AXES = ("x", "y", "z")
 
 
@@ -61,32 +63,68 @@ def normalise_factor(largest: Column, target: float) -> Column:
     return F.when(largest > 0, F.lit(target) / largest).otherwise(F.lit(1.0))
 
 
-def overlaps(a: str, b: str) -> Column:
-    """Extension: whether two boxes, by alias, overlap or touch on every axis."""
-    out = F.lit(True)
-    for axis in AXES:
-        out = out & (F.col(f"{a}.min_{axis}") <= F.col(f"{b}.max_{axis}")) & (F.col(f"{b}.min_{axis}") <= F.col(f"{a}.max_{axis}"))
-    return out
+def overlapping(boxes: DataFrame, key: str) -> DataFrame:
+    """Extension: pairs (key_a < key_b) of boxes that overlap or touch on every axis. Boxes are dealt to the cells of a grid as
+    wide as the widest box, so each is in at most eight; a pair is told in one cell only, that of the low corner of what
+    the two share."""
+    widest = boxes.agg(*(F.max(F.col(f"max_{a}") - F.col(f"min_{a}")).alias(a) for a in AXES)).first()
+    size = max([x for x in widest if x] or [1.0])
+    cells = boxes
+    for a in AXES:
+        at = lambda side, a=a: F.floor(F.col(f"{side}_{a}") / F.lit(size))
+        cells = cells.withColumn(f"cell_{a}", F.explode(F.sequence(at("min"), at("max"))))
+    one, two = (cells.select(*(F.col(c).alias(f"{c}_{n}") for c in cells.columns)) for n in "ab")
+    meet = F.col(f"{key}_a") < F.col(f"{key}_b")
+    for a in AXES:
+        low = F.greatest(f"min_{a}_a", f"min_{a}_b")
+        meet = meet & (F.col(f"cell_{a}_a") == F.col(f"cell_{a}_b")) & (low <= F.least(f"max_{a}_a", f"max_{a}_b")) & (F.floor(low / F.lit(size)) == F.col(f"cell_{a}_a"))
+    return one.join(two, meet).select(f"{key}_a", f"{key}_b")
 
 
 def roots(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("parent_id").isNull())
 
 
-def descendants(spark: SparkSession, nodes: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(root, id, depth, path) of each node below each root, roots included; ordering by path is pre-order.
+def descendants(nodes: DataFrame) -> DataFrame:
+    """(root, id, depth, path) of each node below each root, roots included; ordering by ``path``, an array, is pre-order.
 
-    ``nodes`` has id, parent_id (strings). Level after level in one recursive query; nothing is collected."""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree MAX RECURSION LEVEL {max_depth} AS (
-          SELECT id AS root, id, 0 AS depth, id AS path FROM {{nodes}} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT t.root, n.id, t.depth + 1, concat(t.path, '/', n.id) FROM tree t JOIN {{nodes}} n ON n.parent_id = t.id
-        ) SELECT * FROM tree
-        """,
-        nodes=nodes,
-    )
+    ``nodes`` has id, parent_id (strings). One join a level, however many there are; each level is written to the shared
+    folder before the next. Nodes on a cycle are below no root."""
+    level = checkpointed(nodes.where(F.col("parent_id").isNull()).select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path")))
+    children = nodes.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("child"), F.col("parent_id").alias("above"))
+    found = level
+    while not level.isEmpty():
+        below = level.join(children, F.col("id") == F.col("above"))
+        level = checkpointed(below.select("root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path")))
+        found = found.union(level)
+    return found
+
+
+def mesh_descendants(nodes: DataFrame) -> DataFrame:
+    """(root, id, path) of the nodes of type MESH at or below each root, in pre-order by ``path``. ``nodes`` has a type."""
+    meshes = nodes.where(F.col("type") == "MESH").select("id")
+    return descendants(nodes.select("id", "parent_id")).join(meshes, "id").select("root", "id", "path")
+
+
+def import_box(meshes: DataFrame, key: str | None) -> DataFrame:
+    """The box around all meshes of an import; with no key, of all there are, and one row of nulls if there are none."""
+    sides = [f(f"{name}_{a}").alias(f"{name}_{a}") for a in AXES for name, f in (("min", F.min), ("max", F.max))]
+    return meshes.groupBy(key).agg(*sides) if key else meshes.agg(*sides)
+
+
+def normalise_import(meshes: DataFrame, roots_: DataFrame, key: str, target: float) -> DataFrame:
+    """Per import: the box of its meshes, the factor by which its roots are scaled so that its largest side would be ``target``,
+    and the box made anew after that.
+
+    ``meshes`` has key, root and the sides of each mesh's box, ``roots_`` root and its place (at_x, at_y, at_z). A root
+    scales what is below it about its own place, which stays; so with several roots the new box isn't the old one
+    scaled, and is taken from the scaled meshes."""
+    before = dimensions(import_box(meshes, key)).withColumn("factor", normalise_factor(F.col("largest"), target))
+    placed = meshes.join(roots_, "root").join(before.select(key, "factor"), key)
+    moved = {f"{s}_{a}": F.col(f"at_{a}") + F.col("factor") * (F.col(f"{s}_{a}") - F.col(f"at_{a}")) for a in AXES for s in ("min", "max")}
+    after = import_box(placed.withColumns(moved), key)
+    new = after.select(key, *(F.col(f"{s}_{a}").alias(f"new_{s}_{a}") for a in AXES for s in ("min", "max")))
+    return before.join(new, key)
 
 
 def cleanup_decision(objects: DataFrame, group: str) -> DataFrame:

@@ -12,7 +12,6 @@ METALLIC = ("metallic", "metalness", "metal")
 NORMAL_DOWNLOAD = ("normal", "nor")
 NORMAL_APPLY = ("normal", "nor", "dx", "gl")
 DISPLACEMENT = ("displacement", "disp", "height")
-NORMAL_PICK = ("gl", "dx", "nor")
 
 
 def slot(kind: Column, normal: tuple[str, ...] = NORMAL_APPLY, exact_displacement: bool = False) -> Column:
@@ -51,9 +50,12 @@ def images_of(images: DataFrame, texture_id: str) -> DataFrame:
 
 
 def connections(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Per node its links as ``socket -> node.socket``, sorted; nodes without a link have an empty list."""
+    """Per node its links as ``socket -> node.socket``, in the order of their ``ord``; a node without a link has an empty list.
+    All other columns of ``nodes`` stay. A node's links are one row, as the summary asks: it is meant for graphs whose
+    nodes have few."""
     text = F.concat(F.col("from_socket"), F.lit(" → "), F.col("to_node"), F.lit("."), F.col("to_socket"))
-    made = links.groupBy(F.col("from_node").alias("node")).agg(F.array_sort(F.collect_list(text)).alias("connections"))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", text.alias("text"))))
+    made = links.groupBy(F.col("from_node").alias("node")).agg(F.transform(ordered, lambda x: x["text"]).alias("connections"))
     return nodes.join(made, "node", "left").withColumn("connections", F.coalesce("connections", F.array().cast("array<string>")))
 
 
@@ -63,6 +65,16 @@ def node_images(nodes: DataFrame, images: DataFrame) -> DataFrame:
     return nodes.join(first, "image")
 
 
+def last_node_of_type(nodes: DataFrame, images: DataFrame) -> DataFrame:
+    """Per map type the last node (by ``ord``) that has an image, with the first image of its name."""
+    return node_images(nodes, images).groupBy("map_type").agg(F.max_by(F.struct("node", "image", "image_ord"), "ord").alias("n")).select("map_type", "n.*")
+
+
+def model_has(files: Column, resolution: Column, fmt: Column) -> Column:
+    """The manifest test for models, which asks for two levels only: resolution and format."""
+    return F.try_element_at(F.try_element_at(files, resolution), fmt).isNotNull()
+
+
 def manifest_has(files: Column, map_type: Column, resolution: Column, fmt: Column) -> Column:
     """Whether a nested manifest map_type -> resolution -> format has an entry; a missing level is no error."""
     return F.try_element_at(F.try_element_at(F.try_element_at(files, map_type), resolution), fmt).isNotNull()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import ellipsis, first_non_empty
+from ..functions.strings import ellipsis, first_non_empty, truthy
+from .records import one_json
 
 # Fixed value: what an error message becomes without consent.
 MASKED_ERROR = "Error occurred (details withheld without consent)"
@@ -24,16 +25,47 @@ def mask(events: DataFrame, consent: Column) -> DataFrame:
     })
 
 
+#: Columns of a row on the wire, in order.
+WIRE = (
+    "customer_uuid", "session_id", "event_type", "tool_name", "prompt_text", "success", "duration_ms", "error_message", "version", "platform",
+    "app_version", "metadata", "event_timestamp",
+)
+
+
+def wire_row(events: DataFrame, consent: Column) -> DataFrame:
+    """Events, masked by consent, as the rows that are sent: missing metadata is an empty object, times are whole seconds."""
+    masked = mask(events, consent)
+    return masked.withColumns({"metadata": F.coalesce("metadata", F.lit("{}")), "event_timestamp": epoch_seconds(F.col("ts"))}).select(*WIRE)
+
+
+def enabled(configured: Column, *disabling: Column) -> Column:
+    """Whether events are recorded: configured so, and no disabling setting means yes."""
+    off = F.lit(False)
+    for x in disabling:
+        off = off | truthy(x)
+    return F.coalesce(configured, F.lit(False)) & ~off
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds; what is behind the second is lost."""
     return F.floor(F.unix_micros(ts.cast("timestamp")) / 1_000_000).cast("bigint")
 
 
+# Job states by service, as running or done. What is in neither list has failed.
+RUNNING = {"list": (), "queue": ("IN_QUEUE", "IN_PROGRESS"), "run": ("WAIT", "RUN")}
+DONE = {"list": ("Done",), "queue": ("COMPLETED",), "run": ("DONE",)}
+
+
 def job_status(status: Column) -> Column:
     """Whether a job's statuses are all done; an empty list is."""
     return F.forall(status, lambda s: s == "Done")
 
 
+def job_state(status: Column, service: str) -> Column:
+    """running, done or failed, by the service's own words; null for a null status."""
+    return F.when(status.isNull(), None).when(status.isin(*DONE[service]), "done").when(status.isin(*RUNNING[service]), "running").otherwise("failed")
+
+
 def last_status(rows: DataFrame, job: str, status: str, order: str) -> DataFrame:
     return rows.groupBy(job).agg(F.max_by(status, order).alias("last_status"), F.max(order).alias("last_order"))
 
@@ -49,18 +81,25 @@ def setting_with_trial(preference: Column, scene: Column, env: Column, trial: st
 
 
 def command(raw: Column) -> dict[str, Column]:
-    """Type and parameters of a command envelope; null for text that isn't one."""
-    parsed = F.from_json(raw, "type STRING, params STRING")
-    return {"type": parsed["type"], "params": parsed["params"]}
+    """Type and parameters of a command envelope; null, and not ``valid``, for text that isn't one JSON value, or is two."""
+    valid = one_json(raw)
+    text = lambda k: F.when(valid, F.get_json_object(raw, f"$.{k}"))
+    return {"type": text("type"), "params": text("params"), "valid": valid}
 
 
-def respond(known: list[str], kind: Column) -> dict[str, Column]:
+def respond(known: list[str], kind: Column, valid: Column | None = None) -> dict[str, Column]:
     """A response: success for a known command, else an error that names it."""
     ok = F.coalesce(kind.isin(known), F.lit(False))
-    return {
-        "status": F.when(ok, "success").otherwise("error"),
-        "message": F.when(~ok, F.concat(F.lit("Unknown command type: "), F.coalesce(kind, F.lit("null")))),
-    }
+    message = F.concat(F.lit("Unknown command type: "), F.coalesce(kind, F.lit("null")))
+    if valid is not None:
+        ok, message = ok & valid, F.when(valid, message).otherwise("Invalid JSON")
+    return {"status": F.when(ok, "success").otherwise("error"), "message": F.when(~ok, message)}
+
+
+def response_json(reply: dict[str, Column], result: Column) -> Column:
+    """The response as it is sent: status with the result, or with the message."""
+    good = reply["status"] == "success"
+    return F.to_json(F.struct(reply["status"].alias("status"), F.when(good, result).alias("result"), reply["message"].alias("message")))
 
 
 def http_route(status: Column) -> Column:

@@ -1,4 +1,4 @@
-"""String, URL and settings queries over ``pages``, ``documents`` and small literal tables."""
+"""String, URL and settings queries."""
 
 from __future__ import annotations
 
@@ -18,7 +18,8 @@ def string_parse(spark, sf_dir):
     return _pages(spark, sf_dir).select(
         "page_id", st.last_segment(url, "/").alias("last"), F.split_part(url, F.lit("/"), F.lit(3)).alias("host"),
         F.upper(F.split_part(url, F.lit(":"), F.lit(1))).alias("scheme"), st.is_web_url(url).alias("web"), url.contains("..").alias("dots"),
-        st.strip_prefix(url, "https://").alias("bare"), F.rtrim(url, F.lit("/")).alias("trimmed"), st.image_format(F.when(F.col("page_id") % 3 == 0, "image/png"), url).alias("suffix"),
+        st.strip_prefix(url, "https://").alias("bare"), F.rtrim(url, F.lit("/")).alias("trimmed"), F.trim(F.concat(F.lit("  "), url, F.lit(" "))).alias("stripped"),
+        st.has_host(F.when(F.col("page_id") % 4 != 0, url).otherwise(F.split_part(url, F.lit("/"), F.lit(3)))).alias("address"), st.image_format(F.when(F.col("page_id") % 3 == 0, "image/png"), url).alias("suffix"),
     )
 
 
@@ -33,12 +34,22 @@ def text_digest(spark, sf_dir):
     return docs.select("doc_id", F.sha2(raw, 256).alias("sha256"), st.base64_plain(raw).alias("b64"))
 
 
+# Parts' names with a map type behind them stand for the names of images.
+_KINDS = ["diffuse", "nor_gl", "Normal", "DISP", "rough", "metal", "arm", "floor_diffuse", "diff", "height", "COLOR", "disp"]
+
+
+def _pick(values, number):
+    return F.get(F.array(*(F.lit(v) for v in values)), F.pmod(number, F.lit(len(values))).cast("int"))
+
+
+def _image_names(spark, sf_dir):
+    kind = _pick(_KINDS, F.col("p_size"))
+    name = F.concat(F.translate("p_name", " ", "_"), F.lit("_"), kind, F.when(F.col("p_size") % 2 == 0, ".jpg").otherwise(".exr"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 11 == 0, "plain").otherwise(name).alias("name"))
+
+
 def map_type_slot(spark, sf_dir):
-    names = [(i, n) for i, n in enumerate([
-        "wood_diffuse.jpg", "wood_nor_gl.jpg", "wood_Normal.png", "wood_DISP.exr", "wood_rough.jpg", "wood_metal.jpg",
-        "wood_arm.jpg", "wood_floor_diffuse.jpg", "wood_diff.jpg", "wood_height.exr", "wood_COLOR.jpg", "plain",
-    ])]
-    df = spark.createDataFrame(names, "ord bigint, name string").withColumn("kind", st.map_type(F.col("name")))
+    df = _image_names(spark, sf_dir).withColumn("kind", st.map_type(F.col("name")))
     return df.select(
         "ord", "kind", tx.slot(F.col("kind")).alias("apply_slot"),
         tx.slot(F.col("kind"), tx.NORMAL_DOWNLOAD, exact_displacement=True).alias("download_slot"),
@@ -47,47 +58,50 @@ def map_type_slot(spark, sf_dir):
 
 
 def prefix_capture(spark, sf_dir):
-    images = spark.createDataFrame([(0, "wood_diffuse.jpg"), (1, "wood_floor_diffuse.jpg"), (2, "wood_nor_gl.jpg"), (3, "brick_diffuse.jpg")], "ord bigint, name string")
-    return tx.images_of(images, "wood")
+    """The images of texture ``red``, by map type; ``red_widget`` and others that extend its id are captured too."""
+    return tx.images_of(_image_names(spark, sf_dir), "red")
 
 
 def config_precedence(spark, sf_dir):
-    rows = spark.createDataFrame(
-        [(0, "p", "s", "e"), (1, "", "s", "e"), (2, None, "", "e"), (3, "", "", ""), (4, None, None, None), (5, "p", "TRIAL", "e")],
-        "ord bigint, pref string, scene string, env string",
-    )
-    pref, scene, env = (F.col(c) for c in ("pref", "scene", "env"))
-    return rows.select(
-        "ord", usage.setting(pref, scene, env).alias("value"), usage.setting_with_trial(pref, scene, env, "TRIAL").alias("trial_value"),
+    """Customers' settings from three places, with a key that wins over the first, a default and yes-or-no texts."""
+    c, k = spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("c_custkey")
+    pref, scene, env = _pick(["p", "", None], k), _pick(["s", "", "TRIAL", None], k), _pick(["yes", "", "ON", "0", None], k)
+    return c.select(
+        "c_custkey", usage.setting(pref, scene, env).alias("value"), usage.setting_with_trial(pref, scene, env, "TRIAL").alias("trial_value"),
         F.coalesce(st.non_empty(pref), F.lit("fallback")).alias("with_default"), st.truthy(env).alias("on"),
     )
 
 
 def envelope_route(spark, sf_dir):
-    rows = spark.createDataFrame(
-        [(0, '{"type": "get_scene", "params": {"a": 1}}'), (1, '{"type": "nope"}'), (2, '{"params": {}}'), (3, '{"type": "ping", "params": null}')],
-        "ord bigint, raw string",
+    """Commands as JSON texts, some of them malformed, and the whole responses to them."""
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 6
+    body = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "params": '), F.col("props"), F.lit("}"))
+    raw = F.when(n == 0, '{"params": {}}').when(n == 1, F.left(body, F.length(body) - 1)).when(n == 2, F.concat(body, body)).otherwise(body)
+    got = usage.command(raw)
+    reply = usage.respond(["click", "view", "signup"], got["type"], got["valid"])
+    return e.select(
+        "event_id", got["type"].alias("type"), F.get_json_object(got["params"], "$.k").alias("k"), reply["status"].alias("status"), reply["message"].alias("message"),
+        usage.response_json(reply, F.struct(F.col("user_id").alias("user"))).alias("response"),
     )
-    got = usage.command(F.col("raw"))
-    reply = usage.respond(["get_scene", "ping"], F.col("type"))
-    return rows.select("ord", got["type"].alias("type"), F.get_json_object("raw", "$.params.a").alias("a")).select("ord", "type", "a", reply["status"].alias("status"), reply["message"].alias("message"))
 
 
 def argument_checks(spark, sf_dir):
+    """Whether exactly one of two arguments is given, and whether a prompt isn't too long."""
     from ..operators.collections import exactly_one
 
-    rows = spark.createDataFrame([(0, "a", None), (1, None, "b"), (2, "a", "b"), (3, None, ""), (4, "", "b")], "ord bigint, paths string, urls string")
-    return rows.select("ord", exactly_one(F.col("paths"), F.col("urls")).alias("valid"))
+    p, k = _pages(spark, sf_dir), F.col("page_id")
+    return p.select("page_id", exactly_one(F.when(k % 2 == 0, F.col("url")), F.when(k % 3 == 0, F.col("url")).when(k % 3 == 1, "")).alias("valid"), (F.length("html") > 200).alias("too_long"))
 
 
 def status_route(spark, sf_dir):
-    rows = spark.createDataFrame([(200,), (401,), (404,), (500,), (None,)], "status int")
-    return rows.select("status", usage.http_route(F.col("status")).alias("route"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("o_orderkey", usage.http_route(_pick([200, 401, 404, 500, None], F.col("o_orderkey"))).alias("route"))
 
 
 def format_default(spark, sf_dir):
-    rows = spark.createDataFrame([("hdris", None), ("textures", None), ("models", None), ("hdris", "exr"), ("other", None)], "kind string, asked string")
-    return rows.select("kind", "asked", tx.asset_format(F.col("asked"), F.col("kind")).alias("format"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    kind, asked = _pick(["hdris", "textures", "models", "other"], F.col("p_size")), _pick([None, "exr", None], F.col("p_partkey"))
+    return p.select("p_partkey", tx.asset_format(asked, kind).alias("format"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -95,20 +109,21 @@ QUERIES = {f.__name__: f for f in (
     argument_checks, status_route, format_default,
 )}
 
+_IMAGES = f"""n AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 11 = 0 THEN 'plain'
+  ELSE replace(p_name, ' ', '_') || '_' || ({_KINDS})[p_size % {len(_KINDS)} + 1] || CASE WHEN p_size % 2 = 0 THEN '.jpg' ELSE '.exr' END END AS name FROM part)"""
+
 ORACLES = {
     "string_parse": """
 SELECT page_id, split_part(url, '/', -1) AS last, split_part(url, '/', 3) AS host, upper(split_part(url, ':', 1)) AS scheme,
   regexp_matches(url, '^(?i)https?://') AS web, contains(url, '..') AS dots,
-  CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS bare, rtrim(url, '/') AS trimmed,
+  CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS bare, rtrim(url, '/') AS trimmed, trim(url) AS stripped, page_id % 4 <> 0 AND regexp_matches(url, '^https?://[^/]+') AS address,
   CASE WHEN ends_with(url, '.png') OR page_id % 3 = 0 THEN 'png' ELSE 'jpeg' END AS suffix FROM pages""",
     "truncate_ellipsis": """
 SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS short, length(text) > 200 AS long FROM documents""",
     "text_digest": "SELECT doc_id, sha256(text) AS sha256, base64(encode(text)) AS b64 FROM documents",
-    "map_type_slot": """
-WITH n(ord, name) AS (VALUES (0, 'wood_diffuse.jpg'), (1, 'wood_nor_gl.jpg'), (2, 'wood_Normal.png'), (3, 'wood_DISP.exr'),
-  (4, 'wood_rough.jpg'), (5, 'wood_metal.jpg'), (6, 'wood_arm.jpg'), (7, 'wood_floor_diffuse.jpg'), (8, 'wood_diff.jpg'),
-  (9, 'wood_height.exr'), (10, 'wood_COLOR.jpg'), (11, 'plain')),
-k AS (SELECT CAST(ord AS BIGINT) AS ord, split_part(split_part(name, '_', -1), '.', 1) AS kind FROM n),
+    "map_type_slot": f"""
+WITH {_IMAGES},
+k AS (SELECT ord, split_part(split_part(name, '_', -1), '.', 1) AS kind FROM n),
 l AS (SELECT *, lower(kind) AS low FROM k)
 SELECT ord, kind,
   CASE WHEN low IN ('color', 'diffuse', 'albedo') THEN 'Base Color' WHEN low IN ('roughness', 'rough') THEN 'Roughness'
@@ -119,22 +134,23 @@ SELECT ord, kind,
     WHEN kind IN ('displacement', 'disp', 'height') THEN 'Displacement' END AS download_slot,
   CASE WHEN low IN ('color', 'diffuse', 'albedo') THEN 'sRGB' ELSE 'Non-Color' END AS space,
   CASE WHEN kind IN ('color', 'diffuse', 'albedo') THEN 'sRGB' ELSE 'Non-Color' END AS space_exact FROM l""",
-    "prefix_capture": """
-SELECT * FROM (VALUES ('diffuse', 'wood_floor_diffuse.jpg', CAST(0 AS BIGINT)), ('gl', 'wood_nor_gl.jpg', CAST(2 AS BIGINT))) t(map_type, name, position)""",
+    "prefix_capture": f"""
+WITH {_IMAGES}, m AS (SELECT ord, name, split_part(split_part(name, '_', -1), '.', 1) AS map_type FROM n WHERE starts_with(name, 'red_'))
+SELECT map_type, arg_max(name, ord) AS name, min(ord) AS position FROM m GROUP BY 1""",
     "config_precedence": """
-WITH r(ord, pref, scene, env) AS (VALUES (0, 'p', 's', 'e'), (1, '', 's', 'e'), (2, NULL, '', 'e'), (3, '', '', ''), (4, NULL, NULL, NULL), (5, 'p', 'TRIAL', 'e'))
-SELECT CAST(ord AS BIGINT) AS ord, coalesce(nullif(pref, ''), nullif(scene, ''), nullif(env, ''), '') AS value,
+WITH r AS (SELECT c_custkey, (['p', '', NULL])[c_custkey % 3 + 1] AS pref, (['s', '', 'TRIAL', NULL])[c_custkey % 4 + 1] AS scene, (['yes', '', 'ON', '0', NULL])[c_custkey % 5 + 1] AS env FROM customer)
+SELECT c_custkey, coalesce(nullif(pref, ''), nullif(scene, ''), nullif(env, ''), '') AS value,
   CASE WHEN scene = 'TRIAL' THEN scene ELSE coalesce(nullif(pref, ''), nullif(scene, ''), nullif(env, ''), '') END AS trial_value,
   coalesce(nullif(pref, ''), 'fallback') AS with_default, coalesce(lower(env) IN ('true', '1', 'yes', 'on'), false) AS "on" FROM r""",
     "envelope_route": """
-WITH r(ord, raw) AS (VALUES (0, '{"type": "get_scene", "params": {"a": 1}}'), (1, '{"type": "nope"}'), (2, '{"params": {}}'), (3, '{"type": "ping", "params": null}')),
-t AS (SELECT CAST(ord AS BIGINT) AS ord, json_extract_string(raw, '$.type') AS type, json_extract_string(raw, '$.params.a') AS a FROM r)
-SELECT ord, type, a, CASE WHEN type IN ('get_scene', 'ping') THEN 'success' ELSE 'error' END AS status,
-  CASE WHEN type IN ('get_scene', 'ping') THEN NULL ELSE 'Unknown command type: ' || coalesce(type, 'null') END AS message FROM t""",
+WITH t AS (SELECT event_id, user_id, event_id % 6 NOT IN (1, 2) AS valid, CASE WHEN event_id % 6 > 2 THEN event_type END AS type, props FROM events),
+s AS (SELECT *, valid AND coalesce(type IN ('click', 'view', 'signup'), false) AS ok FROM t),
+m AS (SELECT *, CASE WHEN NOT valid THEN 'Invalid JSON' WHEN NOT ok THEN 'Unknown command type: ' || coalesce(type, 'null') END AS message FROM s)
+SELECT event_id, type, CASE WHEN event_id % 6 > 2 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN ok THEN 'success' ELSE 'error' END AS status, message,
+  CASE WHEN ok THEN '{"status":"success","result":{"user":' || user_id || '}}' ELSE '{"status":"error","message":"' || message || '"}' END AS response FROM m""",
     "argument_checks": """
-SELECT * FROM (VALUES (CAST(0 AS BIGINT), true), (CAST(1 AS BIGINT), true), (CAST(2 AS BIGINT), false), (CAST(3 AS BIGINT), false), (CAST(4 AS BIGINT), true)) t(ord, valid)""",
-    "status_route": """
-SELECT * FROM (VALUES (200, 'ok'), (401, 'unauthorised'), (404, 'not found'), (500, 'failed'), (NULL, 'failed')) t(status, route)""",
+SELECT page_id, (page_id % 2 = 0) <> (page_id % 3 = 0) AS valid, length(html) > 200 AS too_long FROM pages""",
+    "status_route": "SELECT o_orderkey, (['ok', 'unauthorised', 'not found', 'failed', 'failed'])[o_orderkey % 5 + 1] AS route FROM orders",
     "format_default": """
-SELECT * FROM (VALUES ('hdris', NULL, 'hdr'), ('textures', NULL, 'jpg'), ('models', NULL, 'gltf'), ('hdris', 'exr', 'exr'), ('other', NULL, NULL)) t(kind, asked, format)""",
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'exr' ELSE (['hdr', 'jpg', 'gltf', NULL])[p_size % 4 + 1] END AS format FROM part""",
 }
