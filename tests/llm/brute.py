@@ -98,6 +98,125 @@ def licence_base(docs):
     return out
 
 
+def licence_labels(text) -> tuple[str, float]:
+    """Labels and score of a text, place by place."""
+    from strataframe.llm import licences as m
+
+    w = alnum(text)
+    texts = [t.split() for _, t, _ in m.TEMPLATES]
+    in_templates = Counter(x for t in texts for x in set(t))
+    idf = {x: math.log(1 + len(texts) / n) for x, n in in_templates.items()}
+    at = lambda phrase: [p for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
+    found: dict[str, float] = {}
+    for (label, _, keys), t in zip(m.TEMPLATES, texts):
+        votes = [(i - p, x) for i, x in enumerate(w) for p, y in enumerate(t) if x == y]
+        confirmed = [p for k in keys for p in at(k)]
+        for begin in {v for v, x in votes if in_templates[x] <= m.MAX_TEMPLATES}:
+            agreed = {x for v, x in votes if begin <= v <= begin + m.TOLERANCE}
+            share = sum(idf[x] for x in agreed) / sum(idf[x] for x in set(t))
+            if share >= m.LEAST_SHARE - 1e-12 and any(begin - m.TOLERANCE <= p <= begin + len(t) + m.TOLERANCE for p in confirmed):
+                found[label] = max(found.get(label, 0.0), min(1.0, share))
+    base = {label for phrase, label in m.BASE_PHRASES.items() if at(phrase)}
+    return ",".join(sorted(base | set(found))), 1.0 if base else max(found.values(), default=0.0)
+
+
+def kneser_ney(docs) -> dict:
+    """Log-perplexity by text: interpolated modified Kneser-Ney from plain counts of symbols."""
+    from functools import lru_cache
+
+    from strataframe.llm import ngram_rules as m
+
+    def symbols(text):
+        return [[*(int(m.SYMBOL[b]) for b in w.translate(UPPER).encode()), 0] for w in words(text)]
+
+    n = m.ORDER
+    grams = [Counter() for _ in range(n + 1)]
+    for _, t in docs:
+        for word in symbols(t):
+            for i in range(len(word)):
+                grams[n][tuple([0] * max(0, n - 1 - i) + word[max(0, i - n + 1) : i + 1])] += 1
+    for k in range(n - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+
+    def discounts(counts):
+        c = [sum(v == i for v in counts.values()) for i in range(5)]
+        if not c[1] or not c[2]:
+            return [0, 0.5, 0.5, 0.5]
+        y = c[1] / (c[1] + 2 * c[2])
+        d = [0, 1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / max(c[3], 1)]
+        return [0, *(min(max(x, 0.05), top) for x, top in zip(d[1:], (0.95, 1.95, 2.95)))]
+
+    d = [None, *(discounts(grams[k]) for k in range(1, n + 1))]
+    total, left = [Counter() for _ in range(n + 1)], [Counter() for _ in range(n + 1)]
+    for k in range(1, n + 1):
+        for g, c in grams[k].items():
+            total[k][g[:-1]] += c
+            left[k][g[:-1]] += d[k][min(c, 3)]
+
+    @lru_cache(None)
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 64
+        if not total[k][g[:-1]]:
+            return p(g[1:])
+        c = grams[k][g]
+        return (max(c - d[k][min(c, 3)], 0) + left[k][g[:-1]] * p(g[1:])) / total[k][g[:-1]]
+
+    out = {}
+    for _, t in docs:
+        s = [math.log(p(tuple([0] * max(0, n - 1 - i) + word[max(0, i - n + 1) : i + 1]))) for word in symbols(t) for i in range(len(word))]
+        out[t] = -sum(s) / len(s) if s else None
+    return out
+
+
+def language(text, model) -> tuple[str, float]:
+    """The nearest codeword, from the weights of the classifiers."""
+    from strataframe.llm import langid as m
+
+    raw = (text or "").encode()
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    folded = []
+    for b in raw:
+        x = int(m._FOLD[b])
+        if not (x == 32 and folded and folded[-1] == 32):
+            folded.append(x)
+    x = [0.0] * (2 * m.CELLS)
+    for at, size in ((0, 2), (m.CELLS, 3)):
+        codes = [sum(c << 8 * (size - 1 - j) for j, c in enumerate(folded[i : i + size])) & 0xFFFFFFFF for i in range(len(folded) - size + 1)]
+        cells = Counter(c * 2654435761 % 2**32 >> 21 for c in codes)
+        for c, n in cells.items():
+            x[at + c] = math.sqrt(n / len(codes))
+    bits = [sum(v * float(model.w[i][k]) for i, v in enumerate(x) if v) + float(model.b[k]) for k in range(model.w.shape[1])]
+    loss = [
+        sum(float(w) * math.log1p(math.exp(-b * int(c))) for w, b, c in zip(model.weight, bits, code)) / max(sum(map(float, model.weight)), 1e-9)
+        for code in model.code
+    ]
+    best = min(range(len(loss)), key=loss.__getitem__)
+    return model.langs[best], 1 / sum(math.exp(-8 * (v - loss[best])) for v in loss)
+
+
+def quality(text, model) -> float:
+    """The calibrated score, from plain compressed sizes."""
+    import zstandard
+
+    from strataframe.llm import zstd_quality as m
+
+    raw = (text or "").encode()
+    if model.coef is None or not raw:
+        return model.prior
+    blocks = [raw[i : i + m.BLOCK] for i in range(0, len(raw), m.BLOCK)]
+    sizes = []
+    for d in (model.good, model.bad):
+        c = zstandard.ZstdCompressor(level=m.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        sizes.append(sum(len(c.compress(b)) for b in blocks))
+    good, bad = sizes
+    d, share, shown = 20 * (bad - good) / (good + bad), 4 * ((good + bad) / (2 * len(raw)) - 0.4), len(raw) / (len(raw) + m.SHORT)
+    z = sum(float(w) * x for w, x in zip(model.coef, (1, shown * d, shown * share, shown * d * share, shown * share * share)))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
 def rule_counts(docs):
     out = []
     for i, text in docs:

@@ -141,6 +141,35 @@ def test_kneser_ney_sums_to_one(docs):
     assert (np.diff(codes.astype(np.int64)) > 0).all()
 
 
+def test_perplexity_by_brute_force(docs, pairs):
+    want = brute.kneser_ney(pairs)
+    by_id: dict = {}
+    for i, t in pairs:
+        by_id.setdefault(i, []).append(want[t])
+    for r in ngram_rules.score(docs, ngram_rules.train(docs)).collect():
+        assert any(x is None and r.log_perplexity is None or x is not None and r.log_perplexity is not None and math.isclose(x, r.log_perplexity, rel_tol=1e-4) for x in by_id[r.doc_id])
+
+
+def test_verdicts_by_brute_force(spark, real):
+    """``kept`` from the scores, with quartiles taken from sorted lists."""
+    scored = ngram_rules.score(real, ngram_rules.train(real)).toPandas()
+    failed = (scored.n_words < 50) | (100 * scored.n_repeat_words > 50 * scored.n_words)
+    limits = {}
+    for lang, rows in scored[~failed].groupby("lang", dropna=False):
+        x = sorted(rows.log_perplexity)
+        q = [x[math.ceil(p * len(x)) - 1] for p in (0.25, 0.5, 0.75)]
+        limits[lang] = q[1], max(q[1] - q[0], 0.01), max(q[2] - q[1], 0.01)
+    want = {}
+    for r, bad in zip(scored.itertuples(), failed):
+        ok = not bad
+        if ok:
+            mid, below, above = limits[r.lang]
+            wide = 4 + 30 / math.sqrt(r.n_words)
+            ok = -wide * below <= r.log_perplexity - mid <= wide * above
+        want[r.doc_id] = ok
+    assert {r.doc_id: r.kept for r in ngram_rules.judge(real).collect()} == want and not all(want.values())
+
+
 def test_rules_keep_good_text(spark, sf_dir, real):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = ngram_rules.judge(real).join(labels, "doc_id").where("not base_failed").toPandas()
@@ -161,6 +190,24 @@ def test_language_id(real):
     assert (got.lang_pred == got.lang).mean() > 0.95
 
 
+def test_language_id_by_brute_force(docs, pairs):
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    assert len(model.langs) == 2
+    want = {}
+    for i, t in pairs:
+        want.setdefault(i, []).append(brute.language(t, model))
+    for r in langid.predict(docs, model).collect():
+        assert any(r.lang_pred == lang and math.isclose(r.score, s, rel_tol=1e-3, abs_tol=1e-6) for lang, s in want[r.doc_id])
+
+
+def test_language_features_in_pieces(monkeypatch):
+    texts = [b"a  b c" * 50 + b" \n \n " * 30 + b"xyz" * 9, b"ab", b"a", b"", b"    "]
+    whole = langid.features(texts)
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert np.allclose(langid.features(texts), whole, atol=1e-6)
+
+
 def test_language_id_edges(docs, empty, pairs):
     got = langid.identify(docs).collect()
     assert len(got) == len(pairs)
@@ -204,6 +251,23 @@ def test_quality(spark, sf_dir, real):
         assert (good.score.to_numpy()[:, None] > bad.score.to_numpy()[None]).mean() > 0.8
 
 
+def test_quality_by_brute_force(spark, sf_dir, real):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = zstd_quality.fit(real, labels)
+    text = {r.doc_id: r.text for r in real.select("doc_id", "text").collect()}
+    for r in zstd_quality.score(real, model).collect():
+        assert math.isclose(r.score, brute.quality(text[r.doc_id], model), rel_tol=1e-6)
+
+
+def test_samples_dont_depend_on_partitions(spark, sf_dir, real):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    one, two = (zstd_quality.fit(d, labels) for d in (real.repartition(7), real.coalesce(1)))
+    assert (one.good, one.bad) == (two.good, two.bad) and np.array_equal(one.coef, two.coef)
+    some = real.select("doc_id", "text", "lang")
+    one, two = (langid.train(d) for d in (some.repartition(7), some.coalesce(1)))
+    assert np.array_equal(one.w, two.w) and one.langs == two.langs
+
+
 def test_quality_edges(spark, docs, pairs, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 7)], "doc_id long, quality int")
     assert {r.score for r in zstd_quality.classify(docs, labels).collect()} == {1.0}
