@@ -327,4 +327,4 @@ def test_pushdown(spark, sf_dir):
     from strataframe.plans import registry
 
     plan = registry.QUERIES["scene_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan and "p_container" not in plan and "p_type" in plan.split("ReadSchema")[1].split("\n")[0]
+    assert "TakeOrderedAndProject" in plan and " Sort [" not in plan and "p_brand" not in plan.rsplit("ReadSchema", 1)[1]
