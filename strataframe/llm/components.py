@@ -23,9 +23,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _least(both).select("u", F.least("u", "least").alias("least"))
+        # Written before it is joined: the join is then between two shuffles, of which Spark parts the one with a hub.
+        low = cut(_least(both).select("u", F.least("u", "least").alias("least")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        low = _least(large)
+        low = cut(_least(large))
         small = large.join(low, "u").where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         edges = cut(small.union(low.select("u", F.col("least").alias("v"))).distinct())
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
