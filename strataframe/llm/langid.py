@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -141,13 +141,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 x = features(byte_texts(part.column("text"))).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
 
-    # A row is 8 KB whatever its text. The limit is on ordered rows, so it takes the same ones however they lie.
+    # A row is 8 KB whatever its text. Each task gives at most `each` rows a language, so repeated ids don't fill one.
     made = small_batches(rows.where(chosen).select("lang", h.alias("h"), "text")).mapInArrow(run, "lang string, h long, x binary")
-    got = made.orderBy("h", "lang", "x").limit(2 * (2 * each + 30) * len(counts)).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))
+    got = made.withColumn("place", place).where(F.col("place") <= each).collect()
+    got.sort(key=lambda r: (r.lang, r.place))
     taken: dict[str, list[bytes]] = {}
     for r in got:
         taken.setdefault(r.lang, []).append(r.x)
-    pairs = [(lang, x) for lang, xs in sorted(taken.items()) for x in xs[:each]]
+    pairs = [(lang, x) for lang, xs in taken.items() for x in xs]
     x = np.frombuffer(b"".join(x for _, x in pairs), np.float16).reshape(len(pairs), 2 * CELLS).astype(np.float32)
     return Model(x, [lang for lang, _ in pairs])
 
