@@ -121,20 +121,32 @@ def licence_labels(text) -> tuple[str, float]:
 
 
 def kneser_ney(docs) -> dict:
-    """Log-perplexity by text: interpolated modified Kneser-Ney from plain counts of symbols."""
+    """Log-perplexity by text and language: interpolated modified Kneser-Ney from plain counts of symbols."""
+    by_lang: dict = {}
+    for lang, t in docs:
+        by_lang.setdefault(lang, []).append(t)
+    return {(lang, t): x for lang, texts in by_lang.items() for t, x in kneser_ney_of(texts).items()}
+
+
+def kneser_ney_of(texts) -> dict:
     from functools import lru_cache
 
     from strataframe.llm import ngram_rules as m
 
+    fold = {**UPPER, **{ord(c): "0" for c in "123456789"}, **{ord(c): "*" for c in "#$%&|<>"}}
+    letters = Counter(c for t in texts for w in words(t) for c in w.translate(fold))
+    first = sorted(sorted(letters, key=lambda c: (-letters[c], ord(c)))[:55])
+    number = {c: 1 + i for i, c in enumerate(first)}
+
     def symbols(text):
-        return [[*(int(m.SYMBOL[b]) for b in w.translate(UPPER).encode()), 0] for w in words(text)]
+        return [x for w in words(text) for x in (*(number.get(c, 56 + ord(c) % 8) for c in w.translate(fold)), 0)]
 
     n = m.ORDER
     grams = [Counter() for _ in range(n + 1)]
-    for _, t in docs:
-        for word in symbols(t):
-            for i in range(len(word)):
-                grams[n][tuple([0] * max(0, n - 1 - i) + word[max(0, i - n + 1) : i + 1])] += 1
+    for t in texts:
+        line = [0] * (n - 1) + symbols(t)
+        for i in range(n, len(line) + 1):
+            grams[n][tuple(line[i - n : i])] += 1
     for k in range(n - 1, 0, -1):
         grams[k] = Counter(g[1:] for g in grams[k + 1])
 
@@ -164,8 +176,9 @@ def kneser_ney(docs) -> dict:
         return (max(c - d[k][min(c, 3)], 0) + left[k][g[:-1]] * p(g[1:])) / total[k][g[:-1]]
 
     out = {}
-    for _, t in docs:
-        s = [math.log(p(tuple([0] * max(0, n - 1 - i) + word[max(0, i - n + 1) : i + 1]))) for word in symbols(t) for i in range(len(word))]
+    for t in texts:
+        line = [0] * (n - 1) + symbols(t)
+        s = [math.log(p(tuple(line[i - n : i]))) for i in range(n, len(line) + 1)]
         out[t] = -sum(s) / len(s) if s else None
     return out
 
