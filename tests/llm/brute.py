@@ -120,12 +120,19 @@ def licence_labels(text) -> tuple[str, float]:
     return ",".join(sorted(base | set(found))), 1.0 if base else max(found.values(), default=0.0)
 
 
-def kneser_ney(docs) -> dict:
-    """Log-perplexity by text and language: interpolated modified Kneser-Ney from plain counts of symbols."""
-    by_lang: dict = {}
-    for lang, t in docs:
-        by_lang.setdefault(lang, []).append(t)
-    return {(lang, t): x for lang, texts in by_lang.items() for t, x in kneser_ney_of(texts).items()}
+def script(text) -> str:
+    """Coarse script of most letters of a fixture text."""
+    n = Counter("cjk" if "\u3040" <= c < "\u3100" or "\u3400" <= c < "\ua000" else "latin" for c in text or "" if c.isalpha())
+    n += Counter({"emoji": sum(c >= "\U0001f600" for c in text or "")})
+    return max(sorted(n), key=lambda k: (n[k], k == "latin"), default="latin")
+
+
+def kneser_ney(texts) -> dict:
+    """Log-perplexity by text: interpolated modified Kneser-Ney from plain counts of symbols, by script."""
+    by_script: dict = {}
+    for t in texts:
+        by_script.setdefault(script(t), []).append(t)
+    return {t: x for own in by_script.values() for t, x in kneser_ney_of(own).items()}
 
 
 def kneser_ney_of(texts) -> dict:
