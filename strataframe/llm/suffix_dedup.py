@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from . import anchors
 from .common import Chunk, chunk_count, chunked, others, others_struct, text_bytes, trimmed
@@ -211,8 +211,9 @@ def flag_rows(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "sent": pa.array(bits, pa.binary())})
 
 
-def cut_rows(group: pa.Table, answers: pa.Table, n_buckets: int, whole: bool) -> pa.Table:
-    """Chunk -> its documents with what is left of them. ``answers`` has repeated hashes (kind 0) and bits (kind 1)."""
+def cut_rows(group: pa.Table, answers: pa.Table, n_buckets: int, text: str | None) -> pa.Table:
+    """Chunk -> its documents with what is left of them, as bytes or code points if ``text`` names one of the types
+    binary and string. ``answers`` has repeated hashes (kind 0) and bits (kind 1)."""
     chunk = Chunk(group.column("blob").to_pylist())
     kind = answers.column("kind").to_numpy()
     made, ids = RunTexts(SCHEME, chunk, answers.filter(pa.array(kind == 0)), n_buckets), _ids(chunk)
@@ -235,17 +236,22 @@ def cut_rows(group: pa.Table, answers: pa.Table, n_buckets: int, whole: bool) ->
                 mine = gone[at : at + size]
                 left = np.frombuffer(left, np.uint8)[~mine].tobytes()
                 spans = int(mine[0]) + int(np.count_nonzero(mine[1:] > mine[:-1]))
-            for c, v in zip(cols.values(), (chunk.ids[d], size, n, spans, hashlib.sha256(left).hexdigest(), left if whole else None)):
+            digest = hashlib.sha256(left).hexdigest()
+            if text == "string":
+                left = left.decode("utf-8", "ignore").encode()  # without parts of a code point
+            for c, v in zip(cols.values(), (chunk.ids[d], size, n, spans, digest, left if text else None)):
                 c.append(v)
     kinds = (pa.int64(),) * 4 + (pa.string(), pa.binary())
     out = pa.table({c: pa.array(v, kind) for (c, v), kind in zip(cols.items(), kinds)})
+    if text == "string":
+        out = out.set_column(5, "text", out.column("text").cast(pa.string()))
     return out if chunk.extra is None else out.append_column("extra", chunk.extra)
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, extra: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, extra: bool = False, text: str = "binary") -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``,
-    the remaining bytes as ``text`` (binary; a cut may part a code point), and with ``extra`` the other columns as one
-    struct ``extra``, if there are any.
+    the remaining bytes as ``text`` (binary; a cut may part a code point, whose rest is dropped if ``text`` says
+    string), and with ``extra`` the other columns as one struct ``extra``, if there are any.
 
     Packed texts are shuffled once and read three times. One plan, so Spark reuses that exchange."""
     n_chunks = chunk_count(text_bytes(docs))
@@ -261,27 +267,17 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, extra: bool = False)
         .groupBy("bucket").applyInArrow(trimmed(flag_rows), "chunk int, bucket int, sent binary")
     )
     answers = repeated.withColumn("kind", F.lit(0)).union(flags.select("*", F.lit(None).cast("binary").alias("hot"), F.lit(1).alias("kind")))
-    kind = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary")
+    kind = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").add("text", text)
     if extra and others(docs):
         kind = kind.add("extra", docs.select(others_struct(docs).alias("x")).schema["x"].dataType)
-    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(trimmed(lambda g, a: cut_rows(g, a, n_buckets, keep_text)), kind)
+    out = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(trimmed(lambda g, a: cut_rows(g, a, n_buckets, text if keep_text else None)), kind)
     return out if keep_text else out.drop("text")
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut from their texts, all columns kept; n_chars, if there is one, follows the text.
     The rest of a code point that a cut parts is dropped."""
-    cut_rows_ = remove_repeats(docs, extra=True)
-
-    def run(batches):
-        for batch in batches:
-            texts = [x.decode("utf-8", "ignore") for x in batch.column("text").to_pylist()]
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
-
-    plain = cut_rows_.select("doc_id", "text", *(["extra"] if others(docs) else []))
-    kind = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in plain.schema.fields])
-    made = plain.mapInArrow(run, kind)
+    made = remove_repeats(docs, extra=True, text="string")
     place = {c: i for i, c in enumerate(others(docs))}
     own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), "n_chars": F.length("text")}
     return made.select(*(
