@@ -25,6 +25,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that a worker handles at a time inside a batch.
 SLICE_BYTES = 1 << 20
+#: Bytes of text of a chunk that a worker looks at at a time: arrays over them take some 100 times that.
+PART_BYTES = 1 << 18
 #: Bytes of text that a task holds before it packs them.
 PACK_BYTES = 24 << 20
 #: Bytes of text in a chunk, on average; a single longer document makes its chunk longer.
@@ -285,7 +287,7 @@ class Chunk:
         if tables and "extra" in tables[0].column_names:
             self.extra = pa.concat_tables(t.select(["extra"]) for t in tables).column("extra").take(pa.array(order))
 
-    def parts(self, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    def parts(self, limit: int = PART_BYTES) -> Iterator[tuple[int, int]]:
         """Index ranges of documents with about ``limit`` bytes together."""
         a = size = 0
         for i, t in enumerate(self.texts):
