@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import LOWER, byte_texts, cut, slices, small_batches
+from .common import LOWER, byte_texts, checkpoint_dir, cut, slices, small_batches
 
 ORDER = 4
 #: Bits of a symbol, at least and at most.
@@ -51,8 +52,8 @@ SINGLES = (1 << MOST_BITS) - 2 - 2 * SPELL
 TABLE_CODES = 2_000_000
 STEP = 1 << 20
 #: Codes of the scripts whose models are broadcast together, and the most of a script whose model is broadcast at all.
-BLOCK_CODES = 1 << 22
-MODEL_CODES = 1 << 22
+BLOCK_CODES = 1 << 21
+MODEL_CODES = 1 << 21
 #: Codes of larger scripts that are broadcast, the most frequent ones.
 HOT_CODES = 1 << 20
 #: Units of a log-probability of a larger script: sums of integers don't depend on their order.
@@ -349,7 +350,7 @@ class Models:
     def __init__(self, docs: DataFrame):
         self.docs = docs
         self.letters = alphabets(docs)
-        self.counts = cut(count_ngrams(docs, self.letters))
+        self.counts = stored(count_ngrams(docs, self.letters))
         self.blocks: list[list[int]] = []
         self.joined: list[int] = []
         room = 0
@@ -375,7 +376,7 @@ class Models:
         bits = F.coalesce(*(F.when(F.col("script") == key, symbol_bits(self.letters[key])) for key in self.joined))
         out = {ORDER: self.counts.where(F.col("script").isin(self.joined)).select("script", bits.alias("bits"), "code", "n")}
         for k in range(ORDER - 1, 0, -1):
-            out[k] = cut(out[k + 1].groupBy("script", "bits", low(k).alias("code")).agg(F.count("*").alias("n")))
+            out[k] = stored(out[k + 1].groupBy("script", "bits", low(k).alias("code")).agg(F.count("*").alias("n")))
         return out
 
     @cached_property
@@ -397,7 +398,8 @@ class Models:
 
     @cached_property
     def probabilities(self) -> dict[int, DataFrame]:
-        """(script, code, n, p, x) of the joined scripts by order: probability and log-probability in ``UNITS``."""
+        """(script, code, n, p, x) of the joined scripts by order: probability, below the highest order, and log-probability
+        in ``UNITS``."""
         out: dict[int, DataFrame] = {}
         for k in range(1, ORDER + 1):
             level = self.discounted[k]
@@ -407,7 +409,8 @@ class Models:
                 lower = out[k - 1].select("script", F.col("code").alias("lower"), F.col("p").alias("base"))
                 level = level.withColumn("lower", low(k - 1)).join(lower, ["script", "lower"])
             p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("left") * F.col("base")
-            out[k] = cut(level.select("script", "code", "n", p.alias("p")).withColumn("x", units(F.log("p"))))
+            made = level.select("script", "code", "n", p.alias("p")).withColumn("x", units(F.log("p")))
+            out[k] = stored(made if k < ORDER else made.drop("p"))
         return out
 
     def unseen(self, codes: DataFrame) -> DataFrame:
@@ -446,6 +449,13 @@ class Models:
         return out
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as Parquet, in which tables of n-grams are smaller."""
+    path = f"{checkpoint_dir(df.sparkSession)}/ngrams-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def low(k: int) -> Column:
     """The last ``k`` symbols of a code."""
     return F.expr("code" if k == ORDER else f"code & (shiftleft(1L, bits * {k}) - 1L)")
